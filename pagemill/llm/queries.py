@@ -7,18 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import table
+from pagemill.llm.licenses import license_scan
+from pagemill.llm.packing import pack_documents
 from pagemill.llm.token_counts import token_counts
 
 #: Tokens above which op10 marks a document.
 TOKEN_LIMIT = 1024
 
 
+#: Tokens of a packed sequence.
+SEQUENCE = 4096
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")}
+    return found.withColumns(joined)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_license_scan": op2_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import batch_of, bounded_cache, rows_of, steps
+from pagemill.llm.common import batch_of, bounded_cache, byte_letters, rows_of, steps
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -153,14 +153,6 @@ def distinct(points: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return np.concatenate([short[first], other]), same
 
 
-@lru_cache(maxsize=1)
-def byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 class Lexicon(dict):
     """The second transducer: pre-token -> tokens emitted on its last transition; paths are compiled when first met."""
 
