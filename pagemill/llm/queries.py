@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import table
+from pagemill.llm.fingerprints import edited_fingerprints
 from pagemill.llm.licenses import license_scan
 from pagemill.llm.packing import pack_documents
+from pagemill.llm.simhash import simhash_components
 from pagemill.llm.token_counts import token_counts
 
 #: Tokens above which op10 marks a document.
@@ -29,6 +31,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(joined)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -37,6 +47,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
