@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import table
+from pagemill.llm.common import id_remainder, table
 from pagemill.llm.fingerprints import edited_fingerprints
+from pagemill.llm.language import fit_languages, identify_languages
 from pagemill.llm.licenses import license_scan
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.simhash import simhash_components
 from pagemill.llm.token_counts import token_counts
+from pagemill.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Tokens above which op10 marks a document.
 TOKEN_LIMIT = 1024
@@ -39,6 +41,25 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether a document is kept from training: its remainder is `part`; null ids have none."""
+    return F.coalesce(id_remainder(F.col("doc_id"), parts) == part, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_languages(documents.filter(~held_out(4, 2)))
+    found = identify_languages(documents, model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_toxicity(documents.filter(~held_out(5, 0)), table(spark, sf_dir, "labels"))
+    found = score_toxicity(documents, model)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -49,6 +70,8 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
