@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import id_remainder, table
 from pagemill.llm.fingerprints import edited_fingerprints
+from pagemill.llm.html_text import extract_text
 from pagemill.llm.language import fit_languages, identify_languages
 from pagemill.llm.licenses import license_scan
+from pagemill.llm.neighbours import nearest
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.simhash import simhash_components
 from pagemill.llm.token_counts import token_counts
@@ -37,6 +39,14 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -69,6 +79,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op9_toxicity": op9_toxicity,
