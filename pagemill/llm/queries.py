@@ -13,6 +13,7 @@ from pagemill.llm.language import fit_languages, identify_languages
 from pagemill.llm.licenses import license_scan
 from pagemill.llm.neighbours import nearest
 from pagemill.llm.packing import pack_documents
+from pagemill.llm.pieces import piece_digests
 from pagemill.llm.simhash import simhash_components
 from pagemill.llm.token_counts import token_counts
 from pagemill.llm.toxicity import fit_toxicity, score_toxicity
@@ -70,6 +71,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -83,6 +88,7 @@ QUERIES = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
