@@ -4,8 +4,8 @@ A text is a lattice of the vocabulary's pieces; a segmentation's score is the su
 gives each position the best score of what lies before it. That is the exact cost to go of a backward search, so that A-star
 from the end pops whole segmentations in the order of their scores and expands little else.
 
-No piece of these vocabularies has a blank after another character, so that the lattice falls into units, each a run of blanks
-with the characters after it. Units are solved once per worker. The N best of a text combine the units' own: a text's second
+No piece of these vocabularies has a blank after another character or spans a line break, so that the lattice falls into units,
+each a run of blanks with the characters after it. Units are solved once per worker. The N best of a text combine the units' own: a text's second
 segmentation changes one unit, and only the N - 1 occurrences whose second best costs least can matter for its N best.
 """
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import batch_of, rows_of
 
 BLANK = "▁"
-UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: What a character without a piece scores below the least piece score, and distinct units a worker remembers.
 UNKNOWN_PENALTY, MOST_UNITS = 10.0, 600_000
 CHANGES = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("unit", pa.int64()), ("ids", pa.list_(pa.int32()))])))]))
@@ -49,6 +48,10 @@ class Vocabulary:
         self.unknown = (library.unk_id(), min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY)
         self.longest = max(map(len, self.pieces))
         self.spelled = [self._spell(library, i) for i in every]
+        #: Every end of a piece: the piece's id and score, or an empty tuple if it is none itself.
+        self.ends = {p[k:]: self.pieces.get(p[k:], ()) for p in self.pieces for k in range(len(p))}
+        apart = "" if any("\n" in p for p in self.pieces) else "\n"  # in no piece, so that nothing spans it
+        self.cut = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + ("|\n" if apart else ""))
         self.units: dict[str, tuple[bytes, float, float]] = {}
 
     @staticmethod
@@ -66,8 +69,10 @@ class Vocabulary:
                 alone = alone or begin == end - 1
                 yield begin, found[:1], found[1]
         if not alone:
-            ids = tuple(self.bytes[b] for b in text[end - 1].encode()) if self.bytes else (self.unknown[0],)
-            yield end - 1, ids, self.unknown[1]
+            yield end - 1, self.fallback(text[end - 1]), self.unknown[1]
+
+    def fallback(self, character: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in character.encode()) if self.bytes else (self.unknown[0],)
 
     def forward(self, text: str) -> list[float]:
         """The best score of each beginning of the text."""
@@ -94,23 +99,26 @@ class Vocabulary:
 
     def solve(self, text: str) -> tuple[tuple[int, ...], float, float]:
         """Best ids, their score, and what the second best loses: the best segmentation with a piece that is not in the first."""
-        get, longest, end_of = self.pieces.get, self.longest, len(text)
+        get, end_of = self.ends.get, len(text)
         best, last = [0.0] * (end_of + 1), [0] * (end_of + 1)
         edges: list[tuple[int, int, float, tuple[int, ...]]] = []
         for end in range(1, end_of + 1):
             top, alone = -np.inf, False
-            for begin in range(end - 1, max(-1, end - longest - 1), -1):
+            for begin in range(end - 1, -1, -1):
                 found = get(text[begin:end])
                 if found:
                     alone = alone or begin == end - 1
-                    if best[begin] + found[1] > top:
-                        top, last[end] = best[begin] + found[1], len(edges)
+                    score = best[begin] + found[1]
+                    if score > top:
+                        top, last[end] = score, len(edges)
                     edges.append((begin, end, found[1], found[:1]))
+                elif found is None:
+                    break
             if not alone:
-                begin, ids, score = next(e for e in self.edges(text, end) if e[1] and e[2] == self.unknown[1])
-                if best[begin] + score > top:
-                    top, last[end] = best[begin] + score, len(edges)
-                edges.append((begin, end, score, ids))
+                ids, score = self.fallback(text[end - 1]), self.unknown[1]
+                if best[end - 1] + score > top:
+                    top, last[end] = best[end - 1] + score, len(edges)
+                edges.append((end - 1, end, score, ids))
             best[end] = top
         path, at = [], end_of
         while at:
@@ -148,7 +156,7 @@ class Vocabulary:
         """Best ids and score, and the n best as scores with the units (by number) that differ from the best, with their ids."""
         if not text:
             return b"", 0.0, []
-        units = UNIT.findall(BLANK + text.replace(" ", BLANK))
+        units = self.cut.findall(BLANK + text.replace(" ", BLANK))
         solved = list(map(self.unit, units))
         score = float(sum(s for _, s, _ in solved))
         losses = np.array([x for _, _, x in solved])
