@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import batch_of, rows_of
+from pagemill.llm.common import batch_of, durable, rows_of
 
 #: Labelled texts of each class that the model is fitted on, features kept, and distinct words a worker remembers.
 SAMPLE, MOST_FEATURES, MOST_WORDS = 4000, 20_000, 500_000
@@ -120,13 +120,14 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
     Rows with nulls are left out; of repeated labels the largest counts; of copies in the sample one counts.
     """
-    known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents.select("doc_id", "text").dropna().join(known, "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    many = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    known = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(many) < 2:
         return ToxicModel({})
     rare = {c: -(-n // sample) for c, n in many.items()}
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.when(F.col("toxic") == 1, rare[1]).otherwise(rare[0])) == 0)
+    few = known.filter(F.pmod(F.xxhash64("doc_id"), F.when(F.col("toxic") == 1, rare[1]).otherwise(rare[0])) == 0)
+    few = durable(few.orderBy("doc_id").limit(4 * sample))  # so many ids at most: texts need no exchange to meet them
+    picked = documents.select("doc_id", "text").dropna().join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a text: its class, sign, words and their features' counts stay together until copies are left out."""
@@ -136,7 +137,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
             yield pa.record_batch([signs, batch.column(0), batch.column(2), joined], names=["sign", "doc_id", "toxic", "words"])
 
     signed = picked.mapInArrow(count, "sign long, doc_id long, toxic int, words binary")
-    single = signed.groupBy("sign").agg(F.min_by(F.struct("toxic", "words"), "doc_id").alias("r")).select("r.toxic", "r.words")
+    single = durable(signed.groupBy("sign").agg(F.min_by(F.struct("toxic", "words"), "doc_id").alias("r")).select("r.toxic", "r.words"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, Counter] = {0: Counter(), 1: Counter()}
