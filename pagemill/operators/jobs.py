@@ -95,10 +95,10 @@ def job_counters(pages: DataFrame) -> DataFrame:
     )
 
 
-def attrition(stages: list[tuple[str, DataFrame, Column]], rows: DataFrame) -> DataFrame:
+def attrition(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     """A3: for each stage's condition, applied after those before it, the rows before, after and removed: one aggregation."""
     passed, columns = F.lit(True), []
-    for name, _, test in stages:
+    for name, test in stages:
         before, passed = passed, passed & test
         columns.append(F.struct(F.lit(name).alias("stage"), F.count_if(before).alias("before"), F.count_if(passed).alias("after")))
     table = rows.agg(*(c.alias(f"s{k}") for k, c in enumerate(columns))).select(F.posexplode(F.array(*(f"s{k}" for k in range(len(columns))))).alias("ord", "s"))

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from pagemill.queries import jobs, pages, stream, texts, urls
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for part in (urls, texts, pages, jobs, stream):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
