@@ -23,9 +23,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity operator, fitted on the labelled ones outside its held-out part, scores 0.5 or more."""
     model = fit_toxicity(docs.filter(~held_out(5, 0)), table(spark, sf_dir, "labels"))
 
+    def clean(text: str) -> bool:
+        words = words_of(text)
+        return model.score(model.surprise(words, model.segments(words))) < 0.5
+
     def keep(texts: list[str | None]) -> list[bool]:
-        words = [words_of(t or "") for t in texts]
-        return [model.score(model.surprise(w, model.segments(w))) < 0.5 for w in words]
+        return [clean(t or "") for t in texts]
 
     return keep_rows(docs, "text", keep)
 
