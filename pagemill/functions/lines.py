@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import mask_code, stripped
+from pagemill.functions.text import let, mask_code, stripped
 
 # They must equal the reference's for the same lines to go.
 NOISE_ANYWHERE = (
@@ -37,9 +37,16 @@ def heading_sections(text: Column) -> Column:
 
     Text before the first heading and sections of under 50 characters are left out; null if no section is left.
     """
-    parts = F.split(mask_code(text), HEADING, -1)
-    headed = F.transform(parts, lambda p: p.rlike(r"^#{1,3}\s").cast("int"))
-    ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, q: n + F.length(q)))
-    cut = F.transform(parts, lambda p, i: F.when(F.get(headed, i) == 1, stripped(F.substr(text, F.get(ends, i) - F.length(p) + 1, F.length(p)))))
-    kept = F.filter(cut, lambda s: F.length(s) >= LEAST_SECTION)
-    return F.when((F.aggregate(headed, F.lit(0), lambda a, b: a + b) >= 2) & (F.size(kept) > 0), kept)
+    def sections(parts: Column) -> Column:
+        """The parts with where each ends, in one pass."""
+        begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<part:string,end:int>>").alias("all"))
+        step = lambda a, p: F.struct((a["end"] + F.length(p)).alias("end"), F.concat(a["all"], F.array(F.struct(p.alias("part"), (a["end"] + F.length(p)).alias("end")))).alias("all"))
+        return F.aggregate(parts, begin, step, lambda a: a["all"])
+
+    def cut(placed: Column) -> Column:
+        headed = F.filter(placed, lambda x: x["part"].rlike(r"^#{1,3}\s"))
+        whole = F.transform(headed, lambda x: stripped(F.substr(text, x["end"] - F.length(x["part"]) + 1, F.length(x["part"]))))
+        kept = lambda s: F.filter(s, lambda x: F.length(x) >= LEAST_SECTION)
+        return F.when(F.size(headed) >= 2, let(kept(whole), lambda k: F.when(F.size(k) > 0, k)))
+
+    return let(let(F.split(mask_code(text), HEADING, -1), sections), cut)
