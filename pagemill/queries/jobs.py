@@ -1,2 +1,162 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries on jobs (F14, J2-J6, S15, K5, U2, U3, A1-A4, W5, W6, X4-X6) derived from pages and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.functions.urls import authority
+from pagemill.operators import jobs
+from pagemill.queries.common import table
+from pagemill.queries.urls import AUTHORITY
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", authority(F.col("url")).alias("host"))
+
+
+_HOSTED = f"(SELECT page_id, url, {AUTHORITY('url')} AS host FROM pages)"
+
+
+@query(
+    f"SELECT host, CASE WHEN length(host) % 3 = 2 THEN page_id ELSE row_number() OVER (PARTITION BY host ORDER BY url DESC) END AS pos, url FROM {_HOSTED}"
+)
+def llm_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canned replies: a JSON array in reverse order with an unknown URL first, the same in a fence, or no JSON."""
+    asked = _pages(spark, sf_dir).withColumn("ord", F.col("page_id"))
+    listed = F.to_json(F.concat(F.array(F.lit("https://unknown.example.net/")), F.sort_array(F.collect_list("url"), asc=False)))
+    replies = asked.groupBy("host").agg(listed.alias("j")).select("host", F.when(F.length("host") % 3 == 0, F.col("j")).when(F.length("host") % 3 == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).otherwise("Sorry, I can't.").alias("reply"))
+    return jobs.apply_reply(asked, replies, "host")
+
+
+@query("SELECT url FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0")
+def pending_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir)
+    return jobs.pending(p.select("url"), p.filter("page_id % 3 = 0"), p.filter("page_id % 5 = 0"))
+
+
+_ENTRIES = (
+    "(SELECT substring(sha256(url), 1, 16) AS key, CASE WHEN page_id % 11 = 0 THEN url || 'x' ELSE url END AS url, 'v' || v AS html, to_timestamp(1700000000 + page_id * 1000 + v) AS ts"
+    " FROM pages, (VALUES (1), (2)) AS t(v) WHERE page_id % 4 <> 1)"
+)
+NOW, TTL = 1700100000, 86400
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").filter("page_id % 4 != 1").withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
+    return p.select(jobs.cache_key(F.col("url")).alias("key"), F.when(F.col("page_id") % 11 == 0, F.concat("url", F.lit("x"))).otherwise(F.col("url")).alias("url"), F.concat(F.lit("v"), "v").alias("html"), F.timestamp_seconds(F.lit(1700000000) + F.col("page_id") * 1000 + F.col("v")).alias("ts"))
+
+
+@query(f"SELECT key, url, html, CAST(epoch(ts) AS BIGINT) AS ts FROM {_ENTRIES} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) = 1")
+def cache_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.cache_latest(_entries(spark, sf_dir)).withColumn("ts", F.unix_timestamp("ts"))
+
+
+@query(
+    f"WITH e AS (SELECT * FROM {_ENTRIES} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) = 1)"
+    f" SELECT page_id, p.url, e.html, e.html IS NOT NULL AS hit FROM pages p LEFT JOIN e ON e.key = substring(sha256(p.url), 1, 16) AND e.url = p.url AND {NOW} - CAST(epoch(e.ts) AS BIGINT) <= {TTL}"
+)
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return jobs.cache_lookup(p, jobs.cache_latest(_entries(spark, sf_dir)), F.timestamp_seconds(F.lit(NOW)), TTL)
+
+
+_ATTEMPTS = (
+    "(SELECT page_id, v AS level, CASE v WHEN 0 THEN CASE WHEN page_id % 4 = 0 THEN 'cache' END WHEN 1 THEN CASE WHEN page_id % 5 = 0 THEN 'native' END WHEN 2 THEN CASE WHEN page_id % 7 = 0 THEN 'proxy' END"
+    " WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'http_fast' END ELSE CASE WHEN page_id % 13 <> 1 THEN 'browser' END END AS content FROM pages, (VALUES (0), (1), (2), (3), (4)) AS t(v))"
+)
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    got = [F.when(F.col("page_id") % 4 == 0, "cache"), F.when(F.col("page_id") % 5 == 0, "native"), F.when(F.col("page_id") % 7 == 0, "proxy"), F.when(F.col("page_id") % 3 == 0, "http_fast"), F.when(F.col("page_id") % 13 != 1, "browser")]
+    return p.select("page_id", F.posexplode(F.array(*got)).alias("level", "content"))
+
+
+@query(f"SELECT page_id, level, content FROM {_ATTEMPTS} WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY level) = 1")
+def fetch_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.first_success(_attempts(spark, sf_dir), "page_id", "level", "content")
+
+
+_FOUND = f"(SELECT host, CASE WHEN page_id % 4 = 0 THEN 0 WHEN page_id % 4 = 1 THEN 1 ELSE 2 END AS strategy, url FROM {_HOSTED})"
+
+
+@query(f"SELECT host, strategy, url FROM {_FOUND} QUALIFY strategy = min(strategy) OVER (PARTITION BY host)")
+def discovery_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap, else navigation, else traversal: all URLs of a host's first strategy that found any."""
+    strategy = F.when(F.col("page_id") % 4 == 0, 0).when(F.col("page_id") % 4 == 1, 1).otherwise(2)
+    return jobs.all_of_first_success(_pages(spark, sf_dir).select("host", strategy.alias("strategy"), "url"), "host", "strategy")
+
+
+STATES, METHODS = ("ok", "partial", "failed", "skipped", "blocked"), ("native_md", "proxy_md", "http_fast", "playwright")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("page_id") / n) % len(values) + 1).cast("int"))
+    return _pages(spark, sf_dir).select("page_id", "host", pick(STATES, 1).alias("status"), pick(METHODS, 3).alias("fetch_method"), (F.col("page_id") % 6 == 0).alias("retried"), (F.col("page_id") % 9 == 0).alias("cache_hit"))
+
+
+_OUTCOMES = (
+    f"(SELECT page_id, host, (['ok', 'partial', 'failed', 'skipped', 'blocked'])[page_id % 5 + 1] AS status, (['native_md', 'proxy_md', 'http_fast', 'playwright'])[page_id // 3 % 4 + 1] AS fetch_method,"
+    f" page_id % 6 = 0 AS retried, page_id % 9 = 0 AS cache_hit FROM {_HOSTED})"
+)
+
+
+@query(
+    "SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS pages_{s}" for s in STATES) + ", " + ", ".join(f"count(*) FILTER (fetch_method = '{m}') AS pages_{m}" for m in METHODS)
+    + f", count(*) FILTER (retried) AS pages_retried, count(*) FILTER (cache_hit) AS cache_hits, count(*) FILTER (NOT cache_hit) AS cache_misses FROM {_OUTCOMES}"
+)
+def job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.job_counters(_outcomes(spark, sf_dir))
+
+
+@query(f"SELECT fetch_method, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in STATES) + f" FROM {_OUTCOMES} GROUP BY fetch_method")
+def method_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2."""
+    return _outcomes(spark, sf_dir).groupBy("fetch_method").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATES))
+
+
+@query(f"SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i, count(*) OVER (PARTITION BY host) AS n FROM {_HOSTED}")
+def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.progress(_pages(spark, sf_dir).select("host", "page_id"), "host", "page_id")
+
+
+_JOBS = "(SELECT user_id, arg_max(event_type, event_id) AS status, max(epoch(ts)) AS last FROM events GROUP BY user_id)"
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's last event stands for a job's state."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last"))
+
+
+@query(f"SELECT count(*) FILTER (status IN ('view', 'click')) AS active FROM {_JOBS}")
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("status") == "view", "pending").when(F.col("status") == "click", "running").otherwise("completed")
+    return jobs.active_jobs(_jobs(spark, sf_dir).select(named.alias("status")))
+
+
+@query(f"SELECT user_id FROM {_JOBS} WHERE status IN ('purchase', 'error') AND 1706745600 - last > 100000")
+def job_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _jobs(spark, sf_dir).withColumn("completed_at", F.when(F.col("status").isin("purchase", "error"), F.col("last")))
+    return jobs.expired_jobs(done, F.lit(1706745600.0), 100000).select("user_id")
+
+
+@query(
+    "WITH t AS (SELECT user_id, min(event_id) AS last FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)"
+    " SELECT event_id, user_id, event_type FROM events LEFT JOIN t USING (user_id) WHERE last IS NULL OR event_id <= last"
+)
+def terminal_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return jobs.until_terminal(events, "user_id", F.col("event_id"), terminal=("purchase", "error"))

@@ -1,2 +1,60 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries that run a finite stream, and the same windows in batch."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.queries.common import table
+from pagemill.queries.pages import VISIBLE
+from pagemill.queries.texts import HASH
+from pagemill.streaming import flow
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _checkpoint(spark: SparkSession) -> str:
+    """A folder of its own below the shared one; a machine's own only in a local session without one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='pagemill-stream-')}/stream-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT DISTINCT {HASH(VISIBLE)} AS hash FROM pages")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = flow.unique_pages(flow.read_pages(spark, sf_dir)).select("hash")
+    return flow.run_to_table(stream, f"stream_dedup_{uuid.uuid4().hex}", _checkpoint(spark))
+
+
+@query(f"SELECT page_id, {HASH(VISIBLE)} AS hash, length({VISIBLE}) AS n_chars FROM pages")
+def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = flow.accepted_pages(flow.read_pages(spark, sf_dir)).select("page_id", "hash", F.length("text").alias("n_chars"))
+    where = _checkpoint(spark)
+    flow.run_to_folder(stream, f"{where}/out", f"{where}/checkpoint")
+    return spark.read.parquet(f"{where}/out")
+
+
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.windowed_events(table(spark, sf_dir, "events")).select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "event_type", "n")
+
+
+@query(
+    "SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.sessions(table(spark, sf_dir, "events")).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n")

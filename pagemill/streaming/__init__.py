@@ -1,0 +1 @@
+"""The page flow and the event flow as streams."""
