@@ -98,43 +98,43 @@ class Vocabulary:
                 heapq.heappush(heap, (-(best[begin] + behind + score), begin, next(number), behind + score, (ids, path)))
 
     def solve(self, text: str) -> tuple[tuple[int, ...], float, float]:
-        """Best ids, their score, and what the second best loses: the best segmentation with a piece that is not in the first."""
-        get, end_of = self.ends.get, len(text)
-        best, last = [0.0] * (end_of + 1), [0] * (end_of + 1)
-        edges: list[tuple[int, int, float, tuple[int, ...]]] = []
-        for end in range(1, end_of + 1):
-            top, alone = -np.inf, False
+        """Best ids, their score, and what the second best loses; one forward pass with the two best scores of each beginning."""
+        get, low = self.ends.get, -np.inf
+        best, second, come = [0.0], [low], [(0, ())]
+        for end in range(1, len(text) + 1):
+            top, next_, alone, way = low, low, False, (0, ())
             for begin in range(end - 1, -1, -1):
                 found = get(text[begin:end])
                 if found:
                     alone = alone or begin == end - 1
-                    score = best[begin] + found[1]
-                    if score > top:
-                        top, last[end] = score, len(edges)
-                    edges.append((begin, end, found[1], found[:1]))
+                    score = found[1]
+                    value, other = best[begin] + score, second[begin] + score
+                    if value > top:
+                        if top > next_:
+                            next_ = top
+                        top, way = value, (begin, found[:1])
+                    elif value > next_:
+                        next_ = value
+                    if other > next_:
+                        next_ = other
                 elif found is None:
                     break
             if not alone:
-                ids, score = self.fallback(text[end - 1]), self.unknown[1]
-                if best[end - 1] + score > top:
-                    top, last[end] = best[end - 1] + score, len(edges)
-                edges.append((end - 1, end, score, ids))
-            best[end] = top
-        path, at = [], end_of
+                begin, score = end - 1, self.unknown[1]
+                value, other = best[begin] + score, second[begin] + score
+                if value > top:
+                    next_, top, way = max(next_, top), value, (begin, self.fallback(text[begin]))
+                elif value > next_:
+                    next_ = value
+                next_ = max(next_, other)
+            best.append(top)
+            second.append(next_)
+            come.append(way)
+        parts, at = [], len(text)
         while at:
-            path.append(last[at])
-            at = edges[last[at]][0]
-        ids = tuple(i for k in reversed(path) for i in edges[k][3])
-        after = [-np.inf] * end_of + [0.0]
-        used, second = set(path), -np.inf
-        for k in range(len(edges) - 1, -1, -1):
-            begin, end, score, _ = edges[k]
-            through = score + after[end]
-            if through > after[begin]:
-                after[begin] = through
-            if best[begin] + through > second and k not in used:
-                second = best[begin] + through
-        return ids, best[-1], best[-1] - second
+            at, ids = come[at]
+            parts.append(ids)
+        return tuple(i for ids in reversed(parts) for i in ids), best[-1], best[-1] - second[-1]
 
     def unit(self, text: str) -> tuple[bytes, float, float]:
         """Best ids as 32-bit numbers, their score, and what the second best loses (infinite if there is none)."""
