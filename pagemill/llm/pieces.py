@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import batch_of, rows_of
 
 BLANK = "▁"
-#: What a character without a piece scores below the least piece score, and distinct units a worker remembers.
-UNKNOWN_PENALTY, MOST_UNITS = 10.0, 600_000
+#: What a character without a piece scores below the least piece score, and distinct units that a worker remembers solved and ranked.
+UNKNOWN_PENALTY, MOST_UNITS, MOST_RANKED = 10.0, 900_000, 50_000
 CHANGES = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("unit", pa.int64()), ("ids", pa.list_(pa.int32()))])))]))
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("alternatives", CHANGES)])
 DDL = "doc_id long, ids array<int>, score double, alternatives array<struct<score: double, changes: array<struct<unit: long, ids: array<int>>>>>"
@@ -53,6 +53,7 @@ class Vocabulary:
         apart = "" if any("\n" in p for p in self.pieces) else "\n"  # in no piece, so that nothing spans it
         self.cut = re.compile(f"{BLANK}+[^{BLANK}{apart}]*|[^{BLANK}{apart}]+" + ("|\n" if apart else ""))
         self.units: dict[str, tuple[bytes, float, float]] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     @staticmethod
     def _spell(library, i: int) -> bytes:
@@ -148,9 +149,14 @@ class Vocabulary:
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """What each of the n best segmentations loses, and its ids; the first is that of solve()."""
-        first, top, _ = self.solve(text)
-        others = (w for w in self.segmentations(text) if w[1] != first)
-        return [(0.0, first), *((top - s, ids) for (s, ids), _ in zip(others, range(n - 1), strict=False))]
+        found = self.ranked.get((text, n))
+        if found is None:
+            if len(self.ranked) > MOST_RANKED:
+                self.ranked.clear()
+            first, top, _ = self.solve(text)
+            others = (w for w in self.segmentations(text) if w[1] != first)
+            found = self.ranked[text, n] = [(0.0, first), *((top - s, ids) for (s, ids), _ in zip(others, range(n - 1), strict=False))]
+        return found
 
     def encode(self, text: str, n: int) -> tuple[bytes, float, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
         """Best ids and score, and the n best as scores with the units (by number) that differ from the best, with their ids."""
