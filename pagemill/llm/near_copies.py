@@ -74,7 +74,7 @@ def sketch(words: list[bytes]) -> tuple[int, list[int]]:
         for value in least[k * HASHES : (k + 1) * HASHES]:
             with np.errstate(over="ignore"):
                 keys.append((value ^ near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k << 60)).view(np.int64))
-    return int.from_bytes(bits, "big", signed=True), np.concatenate(keys).tolist()
+    return int.from_bytes(bits, "big", signed=True), np.unique(np.concatenate(keys)).tolist()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -91,16 +91,20 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes(node, sketch, keys) that share a key and are not far off by their sketches."""
-    keyed = durable(nodes.select("node", "sketch", F.explode("keys").alias("key")).distinct())
+    """Pairs (u, v), u > v, of nodes(node, sketch, keys) that share a key and are not far off by their sketches.
+
+    Keys are first only counted, so that the many which one node has alone go no further.
+    """
+    keyed = nodes.select("node", "sketch", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = durable(keyed.join(shared, "key"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FAR
     one = F.struct("node", "sketch")
-    picks = [F.min_by(one, F.xxhash64("node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)]
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *picks).filter("n > 1")
-    members = keyed.join(shared, "key")
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("all"))  # at most FEW
     few = few.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("b"))
-    many = members.filter(F.col("n") > FEW).select(one.alias("a"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("b"))
+    hot = members.filter(F.col("n") > FEW)
+    picks = hot.groupBy("key").agg(*(F.min_by(one, F.xxhash64("node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)))
+    many = hot.join(picks, "key").select(one.alias("a"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("b"))
     pairs = few.unionByName(many).filter(near("a.sketch", "b.sketch")).filter("a.node != b.node")
     return pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
