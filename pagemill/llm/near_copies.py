@@ -8,10 +8,16 @@ segment. Of two texts at 0.8, each of the nine misses with about 0.3, so that ne
 A key shared by a few nodes gives all its pairs, one shared by many gives each node's pairs with three representatives,
 so that a group of near copies is never expanded into all pairs. 64 one-bit minwise hashes carried along drop pairs that are
 far off; what is left is verified exactly on the whole shingle sets.
+
+That finds nearly all groups, but proves nothing about the pairs it leaves out. So an exact prefix join follows for what is
+still apart: with all shingles in one order, the rare first, two sets at 0.8 share one of the first n - ceil(0.8 n) + 1 of
+each. All pairs of different groups that share such a shingle are looked at, however many share it, but for those whose sizes
+or places rule 0.8 out. They are verified in blocks, each with the sets that its pairs need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import islice
@@ -32,10 +38,17 @@ SHINGLE, SIMILARITY = 5, 0.8
 HASHES, FEW, REPRESENTATIVES = 3, 16, 3
 #: Of the 64 one-bit minwise hashes of two texts at 0.8 about 6 differ; over 20 do with a chance of one in millions.
 FAR = 20
+#: Documents whose shingles are counted to tell frequent ones, and the most of these. Only the order depends on it.
+COUNTED, FREQUENT = 4000, 200_000
+#: Members of a key that meet in one part of the prefix join; shingles on one side of a block of pairs.
+PART, BLOCK_SHINGLES = 256, 500_000
 _RANDOM = np.random.default_rng(20)
 FACTORS = _RANDOM.integers(1, 1 << 63, 3 * HASHES + 64, dtype=np.uint64) | np.uint64(1)
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SKETCHES = pa.schema(
+    [("doc_id", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64())), ("size", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+)
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def node_of(words: list[bytes]) -> int:
@@ -63,9 +76,37 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(words: list[bytes]) -> tuple[int, list[int]]:
-    """The one-bit minwise hashes, and the keys: a segment's codeword index with one of its least hashes."""
-    least = least_hashes(shingle_set(words))
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several of a bounded sample of docs hold, ascending, and how many do."""
+    step = max(1, docs.count() // COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in map(words_of, rows_of(batch)):
+                if len(words) >= SHINGLE:
+                    yield pa.record_batch([pa.array(shingle_set(words).view(np.int64))], ["shingle"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("doc_id", "text").mapInArrow(run, "shingle long")
+    top = some.groupBy("shingle").count().filter("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    found, counts = (top.column(k).to_numpy() for k in range(2))
+    order = np.argsort(found.view(np.uint64))
+    return found.view(np.uint64)[order], counts[order]
+
+
+def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles, the rare before the frequent: two sets as similar share one of theirs under any common order."""
+    n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1 if len(shingles) else 0
+    known, counts = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        shingles = shingles[np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[:n].view(np.int64)
+
+
+def sketch(words: list[bytes], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[int, list[int], int, list[int]]:
+    """The one-bit minwise hashes; the keys: a segment's codeword index with one of its least hashes; shingles and their prefix."""
+    shingles = shingle_set(words)
+    least = least_hashes(shingles)
     bits = np.packbits((least[3 * HASHES :] >> np.uint64(17) & np.uint64(1)).astype(np.uint8)).tobytes()
     prints = np.array([simhash(words, 1)], np.int64).view(np.uint64)
     keys = []
@@ -74,20 +115,21 @@ def sketch(words: list[bytes]) -> tuple[int, list[int]]:
         for value in least[k * HASHES : (k + 1) * HASHES]:
             with np.errstate(over="ignore"):
                 keys.append((value ^ near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k << 60)).view(np.int64))
-    return int.from_bytes(bits, "big", signed=True), np.unique(np.concatenate(keys)).tolist()
+    return int.from_bytes(bits, "big", signed=True), np.unique(np.concatenate(keys)).tolist(), len(shingles), prefix_of(shingles, frequent).tolist()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sketch, keys) of every row of docs(doc_id, text); texts of under five words have no keys."""
+    """(doc_id, node, sketch, keys, size, prefix) of every row of docs(doc_id, text); texts of under five words have no keys."""
+    frequent = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for words in map(words_of, rows_of(batch)):
-                rows.append((node_of(words), *(sketch(words) if len(words) >= SHINGLE else (0, []))))
-            yield batch_of(SKETCHES, batch.column(0), *(zip(*rows, strict=True) if rows else [[]] * 3))
+                rows.append((node_of(words), *(sketch(words, frequent) if len(words) >= SHINGLE else (0, [], 0, []))))
+            yield batch_of(SKETCHES, batch.column(0), *(zip(*rows, strict=True) if rows else [[]] * 5))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, sketch long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, sketch long, keys array<long>, size long, prefix array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -109,29 +151,82 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs whose whole shingle sets are as similar; ids(doc_id, node) says which row has a node's text."""
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two whole shingle sets are as similar."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def shingle_sets(asked: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes asked for; ids(doc_id, node) says which row has a node's text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield batch_of(SETS, some.column(0), [shingle_set(words_of(t)).tobytes() for t in rows_of(some)])
+                words = [words_of(t) for t in rows_of(some)]
+                yield batch_of(SETS, [node_of(w) for w in words], [shingle_set(w).tobytes() for w in words])
+
+    rows = durable(asked.join(ids, "node").select("doc_id").distinct())
+    return durable(docs.join(rows, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, shingles binary"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those pairs whose whole shingle sets are as similar; ids(doc_id, node) says which row has a node's text."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
-                keep.append(both >= similarity * (len(a) + len(b) - both))
+            keep = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in ab), similarity) for ab in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    asked = durable(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(ids, "node").groupBy("doc_id").agg(F.min("node").alias("node")))
-    found = durable(docs.join(asked, "doc_id").select("node", "text").mapInArrow(sets, "node long, shingles binary"))
+    found = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, ids)
     side = lambda name: found.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv").mapInArrow(alike, "u long, v long")
 
 
+def pairs_apart(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (u, v), u > v, of nodes(node, root, size, prefix) with different roots that can be as similar.
+
+    A key's members meet part by part, so that a hot one is many tasks. At the first shingle that two sets share, what follows
+    in either bounds what they share in all.
+    """
+    keyed = nodes.select("node", "root", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest"))
+    whole = Window.partitionBy("key")
+    keyed = keyed.select("*", F.min("root").over(whole).alias("least"), F.max("root").over(whole).alias("most"), F.count("*").over(whole).alias("n"))
+    keyed = durable(keyed.filter("least < most").select("key", "node", "root", "size", "rest", F.ceil(F.col("n") / PART).alias("parts")))
+    a = keyed.select("key", F.struct("node", "root", "size", "rest").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    b = keyed.select("key", F.struct("node", "root", "size", "rest").alias("b"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    sizes = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
+    places = F.least("a.rest", "b.rest") * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
+    met = a.join(b, ["key", "part"]).filter((F.col("a.root") != F.col("b.root")) & sizes & places)
+    return met.filter("a.node > b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
+def verified_in_blocks(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those pairs whose whole shingle sets are as similar; nodes(node, doc_id, size).
+
+    Nodes that pairs connect fall into blocks of bounded size, so that a set goes to a pair of blocks once and not to each pair.
+    """
+
+    def alike(_: tuple, some: pa.Table, sets: pa.Table) -> pa.Table:
+        of = {n: np.frombuffer(s.as_buffer(), np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("shingles"), strict=True)}
+        u, v = (some.column(x).to_pylist() for x in "uv")
+        keep = [similar(of[a], of[b], similarity) for a, b in zip(u, v, strict=True)]
+        return pa.table([some.column("u"), some.column("v")], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
+
+    roots = components(pairs).withColumnRenamed("root", "joined")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "size"), "node")
+    asked = durable(asked.join(roots, asked["node"] == roots["u"], "left").select("node", "size", F.coalesce("joined", "node").alias("joined")))
+    blocks = asked.groupBy("joined").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks"))
+    placed = durable(asked.join(blocks, "joined").select("node", "joined", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
+    side = lambda name: placed.select(F.col("node").alias(name), "joined", F.col("block").alias(f"b{name}"))
+    task = F.xxhash64("joined", F.least("bu", "bv"), F.greatest("bu", "bv")).alias("task")
+    tasks = durable(pairs.join(side("u"), "u").join(side("v").drop("joined"), "v").select(task, "u", "v"))
+    needed = tasks.select("task", F.explode(F.array("u", "v")).alias("node")).distinct().join(shingle_sets(asked.select("node"), docs, nodes), "node")
+    return tasks.groupBy("task").cogroup(needed.select(F.col("task").alias("of"), "node", "shingles").groupBy("of")).applyInArrow(alike, "u long, v long")
+
+
 def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id) of every row with an id: group_id is the smallest doc_id that links reach from the text.
 
@@ -141,12 +236,15 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).dropna(subset=["doc_id"])
     rows = durable(sketches(docs))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sketch", "keys")).alias("s"))
-    nodes = durable(nodes.select("node", "doc_id", "s.sketch", "s.keys"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sketch", "keys", "size", "prefix")).alias("s"))
+    nodes = durable(nodes.select("node", "doc_id", "s.*"))
     ids = nodes.select("node", "doc_id")
     pairs = durable(candidates(nodes))
     links = verified(pairs, docs, ids)
     roots = components(links)
+    apart = durable(pairs_apart(nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")))
+    more = verified_in_blocks(apart, docs, nodes)
+    roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more))
     named = durable(ids.join(roots, ids["node"] == roots["u"], "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
     groups = named.join(named.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("node", "group_id")
     return rows.select("doc_id", "node").join(groups, "node").select("doc_id", "group_id")

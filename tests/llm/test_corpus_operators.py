@@ -215,6 +215,29 @@ def test_near_copies(spark):
     assert near_copy_groups(frame(spark, [])).count() == 0
 
 
+def edited(n, words=300, edits=5):
+    """A text and n copies, each with words of its own at places of its own."""
+    r = random.Random(n)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    texts = [" ".join(base)]
+    for k in range(n):
+        w = list(base)
+        for at in r.sample(range(5, words - 5, 6), edits):
+            w[at] = f"new{k}x{at}"
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("n", [100, 1000])
+def test_near_copies_of_one_original_only(spark, n):
+    texts = edited(n)
+    sets = [set(shingle_set(words_of(t)).tolist()) for t in texts]
+    assert all(0.8 <= len(s & sets[0]) / len(s | sets[0]) < 0.88 for s in sets[1:])
+    assert all(len(a & b) / len(a | b) < 0.8 for a, b in zip(sets[1:], sets[2:], strict=False))
+    got = near_copy_groups(frame(spark, texts, range(7, 8 + n))).collect()
+    assert len(got) == n + 1 and {g.group_id for g in got} == {7}
+
+
 def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
