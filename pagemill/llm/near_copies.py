@@ -145,7 +145,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("all"))  # at most FEW
     few = few.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("b"))
     hot = members.filter(F.col("n") > FEW)
-    picks = hot.groupBy("key").agg(*(F.min_by(one, F.xxhash64("node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)))
+    picks = hot.groupBy("key").agg(*(F.min_by(one, F.xxhash64("key", "node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)))
     many = hot.join(picks, "key").select(one.alias("a"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("b"))
     pairs = few.unionByName(many).filter(near("a.sketch", "b.sketch")).filter("a.node != b.node")
     return pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
