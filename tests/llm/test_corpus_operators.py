@@ -238,6 +238,16 @@ def test_near_copies_of_one_original_only(spark, n):
     assert len(got) == n + 1 and {g.group_id for g in got} == {7}
 
 
+def test_near_copies_by_added_words(spark):
+    r = random.Random(3)
+    texts = []
+    for k in range(400):
+        words = [f"w{r.randrange(10**9)}" for _ in range(74)]
+        texts += [" ".join(words[:60]), " ".join(words)]  # 56 of 70 shingles: 0.8
+    got = {g.doc_id: g.group_id for g in near_copy_groups(frame(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k in range(800)}
+
+
 def test_representatives_differ_from_key_to_key(spark):
     nodes = spark.createDataFrame([(k, 0, [1, 2, 3, 4, 5]) for k in range(40)], "node long, sketch long, keys array<long>")
     assert candidates(nodes).count() > 39 + 38 + 37  # the pairs of three nodes with all others
