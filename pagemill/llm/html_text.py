@@ -24,7 +24,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text up to their own end tag, as it stands.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never rendered.
-UNSEEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist noembed noframes param".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes param".split())
+#: Elements of graphics and formulas that are never rendered.
+UNSEEN_WITHIN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Start tags that leave the head open; any other ends it, as text does.
+IN_HEAD = frozenset("head title meta link base basefont bgsound style script noscript noframes template".split())
+IN_COLGROUP = frozenset("col template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp".split()
@@ -53,10 +61,10 @@ SCHEMA = pa.schema([("page_id", pa.int64()), ("text", pa.string())])
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "depth")
+    __slots__ = ("tag", "attributes", "children", "depth", "within")
 
-    def __init__(self, tag: str, attributes: str, depth: int):
-        self.tag, self.attributes, self.depth = tag, attributes, depth
+    def __init__(self, tag: str, attributes: str, depth: int, within: str = ""):
+        self.tag, self.attributes, self.depth, self.within = tag, attributes, depth, within  # within: svg, math or nothing
         self.children: list[Node | str] = []
 
     def attribute(self, name: str) -> str | None:
@@ -69,13 +77,13 @@ class Node:
         return None
 
     def hidden(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.tag in UNSEEN or (self.within and self.tag in UNSEEN_WITHIN[self.within]):
             return True
         if not self.attributes:
             return self.tag == "dialog"
         if self.attribute("hidden") is not None or (self.tag == "input" and (self.attribute("type") or "").lower() == "hidden"):
             return True
-        if (self.attribute("aria-hidden") or "").lower() == "true" or (self.tag == "dialog" and self.attribute("open") is None):
+        if self.tag == "dialog" and self.attribute("open") is None:
             return True
         style = self.attribute("style")
         return bool(style and INVISIBLE_STYLE.search(style))
@@ -104,6 +112,8 @@ def build_tree(html: str) -> Node:
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
+                if open_[-1].tag in ("head", "colgroup") and not text.isspace():
+                    open_.pop()
                 open_[-1].children.append(unescape(text) if "&" in text else text)
             continue
         tag = tag.lower()
@@ -111,6 +121,8 @@ def build_tree(html: str) -> Node:
             if tag in ("html", "body"):
                 continue
             if tag == "br":
+                if open_[-1].tag in ("head", "colgroup"):
+                    open_.pop()
                 open_[-1].children.append(Node("br", "", 0))
             elif tag == "p" and not any(n.tag == "p" for n in open_):
                 open_[-1].children.append(Node("p", "", 0))
@@ -120,6 +132,8 @@ def build_tree(html: str) -> Node:
         if tag == "html":
             root.attributes = root.attributes or m[3]
             continue
+        if (open_[-1].tag == "head" and tag not in IN_HEAD) or (open_[-1].tag == "colgroup" and tag not in IN_COLGROUP):
+            open_.pop()
         if tag in ENDS_PARAGRAPH:
             close(("p",), SCOPES | {"button", "div", "article", "section", "main", "li"})
         if tag in IMPLIED_END:
@@ -129,8 +143,11 @@ def build_tree(html: str) -> Node:
                 close(ends, stop)
                 if len(open_) == before:
                     break
-        node = Node(tag, m[3].rstrip("/ \t\r\n"), len(open_))
+        foreign = open_[-1].within if open_[-1].tag != "foreignobject" else ""
+        node = Node(tag, m[3].rstrip("/ \t\r\n"), len(open_), tag if tag in UNSEEN_WITHIN else foreign)
         open_[-1].children.append(node)
+        if node.within and m[3].endswith("/"):  # only there does a slash end an element
+            continue
         if tag in RAW:
             lowered = html.lower() if lowered is None else lowered
             if len(lowered) != size:  # a character that changes its length: look for the end tag itself
@@ -226,6 +243,10 @@ def render(node: Node, out: Layout, pre: bool = False) -> None:
             out.words(child.attribute("alt") or "")
         elif tag == "input":
             out.words(child.attribute("value") or child.attribute("placeholder") or "")
+        elif tag == "text" and child.within == "svg":  # placed apart from what stands beside it
+            out.block(False)
+            render(child, out, pre)
+            out.block(False)
         elif tag == "wbr":
             continue
         elif tag == "table":

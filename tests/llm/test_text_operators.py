@@ -165,6 +165,24 @@ def test_html_keeps_visible_words():
         assert sorted(re.findall(r"w\d+x\d+", shown)) == sorted(words), page
 
 
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<html><head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+        ("<head><meta charset=utf-8><script>x</script> \nplain text<b>b</b>", "plain textb"),
+        ("<head><title>T</title></head><body>a", "a"),
+        ("<table><colgroup><col><tr><td>x<td>y</table>z", "x  y\n\nz"),
+        ("<table><colgroup><col></colgroup><colgroup span=2><thead><tr><th>h<tbody><tr><td>x</table>", "h\nx"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
+        ("a<svg><title>no</title><defs/><path d='M0'/><text>one</text><text>two</text></svg>b", "a\none\ntwo\nb"),
+        ("<svg><defs><text>no</text></defs><foreignObject><div/>in</foreignObject></svg>", "in"),
+        ("<span aria-hidden=true>seen</span> <i hidden>no</i>", "seen"),
+    ],
+)
+def test_html_implied_ends_and_foreign_text(page, shown):
+    assert html_text(page) == shown
+
+
 def test_html_rows(spark):
     got = extract_text(spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>x", "u")], "page_id long, html string, text string")).orderBy("page_id").collect()
     assert [r.text for r in got] == [None, "", "x"]
