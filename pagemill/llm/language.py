@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import STEP_CHARS, batch_of, rows_of, steps
 
 UNDETERMINED = "und"
-#: Labelled texts a language that the classifiers are fitted on, and languages at most.
-SAMPLE, MOST_LANGUAGES = 400, 200
+#: Labelled texts a language that the classifiers are fitted on, and about how many in all that many languages share.
+SAMPLE, ROWS = 400, 8000
 #: Buckets of hashed n-grams, the n, ridge penalty, and the share of the two nearest words below which a text is ambiguous.
 BUCKETS, GRAMS, RIDGE, CLEAR = 1 << 13, (1, 2, 3), 1e-3, 0.6
 #: ASCII letters stay, other ASCII reads as a blank.
@@ -99,8 +99,8 @@ class LanguageModel:
         there = [i for i, t in enumerate(texts) if LETTER.search(t)]
         if there and self.languages:
             m = margins([texts[i] for i in there], self.weights, self.bias)
-            loss = np.logaddexp(0, -4 * self.code[None] * m[:, None, :])
-            far = (loss * self.trust).sum(axis=2) / self.trust.sum(axis=1)
+            loss = [np.logaddexp(0, -4 * sign * m) @ (self.trust * (self.code == sign)).T for sign in (1, -1)]
+            far = (loss[0] + loss[1]) / self.trust.sum(axis=1)
             share = np.exp(-4 * (far - far.min(axis=1, keepdims=True)))
             share /= share.sum(axis=1, keepdims=True)
             best = share.argmax(axis=1)
@@ -112,22 +112,27 @@ class LanguageModel:
 
 
 def fit_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fit on about `sample` texts of each language of labelled, picked by a hash of the id; rows with nulls are left out."""
+    """Fit on about `sample` texts of each language of labelled, picked by a hash of the id; rows with nulls are left out.
+
+    Every language is learnt. Many share about ROWS texts, each with one at least.
+    """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    languages = tuple(sorted(many))
+    many = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("least")).collect()
+    languages = tuple(sorted(r["lang"] for r in many))
     if not languages:
         return LanguageModel((), np.zeros((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.zeros((0, 1)))
-    keep = F.lit(False)
-    for lang, n in many.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // sample))) == 0))
+    few = len(languages) * sample > ROWS
+    sample = max(1, ROWS // len(languages)) if few else sample
+    steps_of = labelled.sparkSession.createDataFrame([(r["lang"], -(-r["n"] // sample), r["least"]) for r in many], "lang string, step long, least long")
+    keep = (F.pmod(F.xxhash64("doc_id"), F.col("step")) == 0) | (F.lit(few) & (F.xxhash64("doc_id") == F.col("least")))
+    picked = rows.join(F.broadcast(steps_of), "lang").filter(keep).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = frequencies(rows_of(batch))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "lang", "x"])
 
-    found = rows.filter(keep).mapInArrow(run, f"{rows.schema['doc_id'].name} {rows.schema['doc_id'].dataType.simpleString()}, lang string, x binary").orderBy("doc_id", "lang").limit(2 * sample * len(languages)).toPandas()
+    found = picked.mapInArrow(run, f"{rows.schema['doc_id'].name} {rows.schema['doc_id'].dataType.simpleString()}, lang string, x binary").orderBy("doc_id", "lang").limit(2 * sample * len(languages)).toPandas()
     x = np.array([np.frombuffer(r, np.float16) for r in found["x"]]).astype(np.float32) if len(found) else np.zeros((0, BUCKETS), np.float32)
     y = np.searchsorted(languages, found["lang"].to_numpy(str)) if len(found) else np.zeros(0, int)
     code = code_book(len(languages))

@@ -272,6 +272,16 @@ def test_languages_of_odd_rows(spark):
         assert len({tuple(c) for c in code}) == n
 
 
+def test_more_languages_than_most(spark):
+    r = random.Random(6)
+    own = {f"l{k:03}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(300)}
+    rows = [(k, " ".join(r.choices(w, k=30)), x) for k, (x, w) in enumerate((x, w) for x, w in own.items() for _ in range(3))]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == set(own)
+    found, _, _ = model.predict([t for _, t, _ in rows])
+    assert sum(a == x for a, (_, _, x) in zip(found, rows, strict=True)) > 0.95 * len(rows)
+
+
 def brute_segments(x):
     out = []
 
