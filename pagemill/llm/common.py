@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters that one step of a Python operator handles at a time; a longer single text is a step of its own.
 STEP_CHARS = 4_000_000
+#: Rows of numbers that a broadcast may have: about 20 MB.
+MOST_BROADCAST = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames that durable() gave and that only results already durable themselves were made of."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if found.isDefined():
+            folder = sc._jvm.org.apache.hadoop.fs.Path(found.get())
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a frame of few numbers a row, for the broadcast side of a join if it is counted to be small; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most `limit` characters together, or of one longer text."""
     begin = size = 0

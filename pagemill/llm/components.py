@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import durable
+from pagemill.llm.common import durable, release
 
 
 def _sum(edges: DataFrame) -> tuple[int, int]:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = durable(small.filter("u > v").distinct())
+        old, now = now, durable(small.filter("u > v").distinct())
+        release(old)
         last, seen = seen, _sum(now)
         if seen == last:
             break

@@ -2,24 +2,21 @@
 
 Texts of equal word sequence are one node. A node's SimHash is taken over its words, so that an edited word moves it little,
 and cut into three segments; the indices of the Golay codewords near a segment stay equal while at most 2 of its bits
-differ. An index alone is shared by too many, so each key also holds a least shingle hash: three independent ones go with each
-segment. Of two texts at 0.8, each of the nine misses with about 0.3 after word edits; added words move the SimHash more, and
-3 to 4 in 100 of such pairs share no key.
-
-A key shared by a few nodes gives all its pairs, one shared by many gives each node's pairs with three representatives,
-so that a group of near copies is never expanded into all pairs. 64 one-bit minwise hashes carried along drop pairs that are
-far off; what is left is verified exactly on the whole shingle sets.
-
-That finds nearly all groups, but proves nothing about the pairs it leaves out. So an exact prefix join follows for what is
-still apart: with all shingles in one order, the rare first, two sets at 0.8 share one of the first n - ceil(0.8 n) + 1 of
-each. All pairs of different groups that share such a shingle are looked at, however many share it, but for those whose sizes
-or places rule 0.8 out. They are verified in blocks, each with the sets that its pairs need.
+differ. An index alone is shared by too many, so each key also holds the least shingle hash under a function of the segment's.
+A key shared by a few nodes gives all its pairs, one shared by many gives each node's pairs with three representatives, so
+that a group of near copies is never expanded into all pairs. The pairs are verified exactly on the whole shingle sets.
+
+That joins nearly all groups in work that is linear in the texts, but proves nothing about the pairs it leaves out. So an
+exact prefix join follows for what is still apart: with all shingles in one order, the rare first, two sets at 0.8 share one of
+the first n - ceil(0.8 n) + 1 of each. All pairs of different groups that share such a shingle are looked at, however many
+share it, but for those whose sizes, or whose places of the last such shingle, rule 0.8 out; they are verified as before.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 from itertools import islice
 
@@ -30,31 +27,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import golay
-from pagemill.llm.common import batch_of, durable, rows_of
+from pagemill.llm.common import batch_of, durable, fresh, release, rows_of, small, steps
 from pagemill.llm.components import components
 from pagemill.llm.simhash import SEGMENTS, SHINGLES_A_STEP, shingles_of, simhash, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Least hashes that go with each segment; nodes of a key that are paired all with all; representatives beyond that.
-HASHES, FEW, REPRESENTATIVES = 3, 16, 3
-#: Of the 64 one-bit minwise hashes of two texts at 0.8 about 6 differ; over 20 do with a chance of one in millions.
-FAR = 20
-#: Documents whose shingles are counted to tell frequent ones, and the most of these. Only the order depends on it.
-COUNTED, FREQUENT = 4000, 200_000
-#: Members of a key that meet in one part of the prefix join; shingles on one side of a block of pairs.
-PART, BLOCK_SHINGLES = 256, 500_000
-_RANDOM = np.random.default_rng(20)
-FACTORS = _RANDOM.integers(1, 1 << 63, 3 * HASHES + 64, dtype=np.uint64) | np.uint64(1)
-SKETCHES = pa.schema(
-    [("doc_id", pa.int64()), ("node", pa.int64()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64())), ("size", pa.int64()), ("prefix", pa.list_(pa.int64()))]
-)
-SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-
-def node_of(words: list[bytes]) -> int:
-    """64 bits of a hash of the word sequence."""
-    return int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "big", signed=True)
+#: Nodes of a key that are paired all with all; representatives beyond that.
+FEW, REPRESENTATIVES = 16, 3
+#: Shingles that a task counts at a time, the share of texts that makes one frequent there, and the most that are told. Only the order depends on it.
+COUNTED, SHARE, FREQUENT = 2_000_000, 1e-3, 100_000
+#: Members of a key that meet in one part of the prefix join; characters of the texts that a task takes at a time.
+PART, CHARS = 256, 1_000_000
+FACTORS = np.random.default_rng(20).integers(1, 1 << 63, len(SEGMENTS), dtype=np.uint64) | np.uint64(1)
+SKETCHES = pa.schema([
+    ("doc_id", pa.int64()), ("mark", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
+])
+SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def text_hash(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of a hash of the word sequence."""
+    both = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
 def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -66,32 +60,46 @@ def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def least_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The least value of the shingles under each of the hash functions."""
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
-    for part in np.array_split(shingles, max(1, len(shingles) // 4096)):
-        if len(part):
-            mixed = part[None, :] * FACTORS[:, None]
-            mixed ^= mixed >> np.uint64(29)
-            least = np.minimum(least, (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1))
-    return least
+def least_hash(shingles: np.ndarray, factor: np.uint64) -> np.uint64:
+    """The least value of the shingles under the hash function of this factor."""
+    mixed = shingles * factor
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed.min()
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several of a bounded sample of docs hold, ascending, and how many do."""
-    step = max(1, docs.count() // COUNTED)
+    """Shingles that many of docs(doc_id, text) hold, ascending, and how many do.
+
+    Every text is counted. A task drops what only few of its texts hold; a shingle that SHARE of all texts hold is held by
+    that share in some task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            many = n >= max(3, SHARE * len(held))
+            held.clear()
+            return pa.record_batch([pa.array(found[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["shingle", "n"])
+
+        size = 0
         for batch in batches:
             for words in map(words_of, rows_of(batch)):
                 if len(words) >= SHINGLE:
-                    yield pa.record_batch([pa.array(shingle_set(words).view(np.int64))], ["shingle"])
-
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("doc_id", "text").mapInArrow(run, "shingle long")
-    top = some.groupBy("shingle").count().filter("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
-    found, counts = (top.column(k).to_numpy() for k in range(2))
+                    held.append(shingle_set(words))
+                    size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+                    size = 0
+        yield counted()
+
+    counts = docs.select("doc_id", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    found, n = (top.column(k).to_numpy() for k in range(2))
     order = np.argsort(found.view(np.uint64))
-    return found.view(np.uint64)[order], counts[order]
+    return found.view(np.uint64)[order], n[order]
 
 
 def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -104,128 +112,115 @@ def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], sim
     return shingles[:n].view(np.int64)
 
 
-def sketch(words: list[bytes], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[int, list[int], int, list[int]]:
-    """The one-bit minwise hashes; the keys: a segment's codeword index with one of its least hashes; shingles and their prefix."""
-    shingles = shingle_set(words)
-    least = least_hashes(shingles)
-    bits = np.packbits((least[3 * HASHES :] >> np.uint64(17) & np.uint64(1)).astype(np.uint8)).tobytes()
+def golay_keys(words: list[bytes], shingles: np.ndarray) -> np.ndarray:
+    """For each segment of the words' SimHash the indices of the codewords near it, each with the segment's least shingle hash."""
     prints = np.array([simhash(words, 1)], np.int64).view(np.uint64)
     keys = []
     for k, (at, n) in enumerate(SEGMENTS):
         _, near = golay.keys((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64))
-        for value in least[k * HASHES : (k + 1) * HASHES]:
-            with np.errstate(over="ignore"):
-                keys.append((value ^ near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k << 60)).view(np.int64))
-    return int.from_bytes(bits, "big", signed=True), np.unique(np.concatenate(keys)).tolist(), len(shingles), prefix_of(shingles, frequent).tolist()
+        keys.append((least_hash(shingles, FACTORS[k]) ^ near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k << 60)).view(np.int64))
+    return np.unique(np.concatenate(keys))
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """One list of 64-bit numbers a part."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).view(np.int64)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sketch, keys, size, prefix) of every row of docs(doc_id, text); texts of under five words have no keys."""
+    """(doc_id, mark, high, low, size, keys, prefix) of every row of docs(doc_id, text, mark); texts of under five words have no keys."""
     frequent = frequent_shingles(docs)
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for words in map(words_of, rows_of(batch)):
-                rows.append((node_of(words), *(sketch(words, frequent) if len(words) >= SHINGLE else (0, [], 0, []))))
-            yield batch_of(SKETCHES, batch.column(0), *(zip(*rows, strict=True) if rows else [[]] * 5))
+            texts = rows_of(batch)
+            for a, b in steps(texts, CHARS):
+                hashes, sizes, keys, prefixes = [], [], [], []
+                for words in map(words_of, texts[a:b]):
+                    shingles = shingle_set(words) if len(words) >= SHINGLE else none
+                    hashes.append(text_hash(words))
+                    sizes.append(len(shingles))
+                    keys.append(golay_keys(words, shingles) if len(shingles) else none)
+                    prefixes.append(prefix_of(shingles, frequent) if len(shingles) else none)
+                yield batch_of(SKETCHES, batch.column(0)[a:b], batch.column(2)[a:b], *zip(*hashes, strict=True), sizes, lists(keys), lists(prefixes))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, sketch long, keys array<long>, size long, prefix array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, high long, low long, size long, keys array<long>, prefix array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes(node, sketch, keys) that share a key and are not far off by their sketches.
+    """Pairs (u, v), u > v, of nodes(node, keys) that share a key: all of a key of a few, with representatives in one of many.
 
     Keys are first only counted, so that the many which one node has alone go no further.
     """
-    keyed = nodes.select("node", "sketch", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = durable(keyed.join(shared, "key"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FAR
-    one = F.struct("node", "sketch")
-    few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("all"))  # at most FEW
-    few = few.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("b"))
+    few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))  # at most FEW
+    few = few.select(F.posexplode("all").alias("at", "u"), "all").select("u", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("v"))
     hot = members.filter(F.col("n") > FEW)
-    picks = hot.groupBy("key").agg(*(F.min_by(one, F.xxhash64("key", "node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)))
-    many = hot.join(picks, "key").select(one.alias("a"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("b"))
-    pairs = few.unionByName(many).filter(near("a.sketch", "b.sketch")).filter("a.node != b.node")
-    return pairs.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two whole shingle sets are as similar."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
+    picks = hot.groupBy("key").agg(*(F.min_by("node", F.xxhash64("key", "node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)))
+    many = hot.join(picks, "key").select(F.col("node").alias("u"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("v"))
+    pairs = few.unionByName(many).filter("u != v")
+    found = durable(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    release(members)
+    return found
 
 
-def shingle_sets(asked: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes asked for; ids(doc_id, node) says which row has a node's text."""
+def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """(node, shingles) of the nodes asked for; nodes(node, doc_id, mark) says which rows of docs(doc_id, text, mark) have a node's text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                words = [words_of(t) for t in rows_of(some)]
-                yield batch_of(SETS, [node_of(w) for w in words], [shingle_set(w).tobytes() for w in words])
+            texts = rows_of(batch)
+            for a, b in steps(texts, CHARS):
+                yield batch_of(SETS, batch.column(0)[a:b], lists([shingle_set(words_of(t)).view(np.int64) for t in texts[a:b]]))
 
-    rows = durable(asked.join(ids, "node").select("doc_id").distinct())
-    return durable(docs.join(rows, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, shingles binary"))
+    rows = durable(nodes.select("node", "doc_id", "mark").join(asked, "node", "left_semi"))
+    found = docs.join(small(rows), ["doc_id", "mark"]).select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+    found = durable(found.dropDuplicates(["node"]) if repeated else found)
+    release(rows)
+    return found
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs whose whole shingle sets are as similar; ids(doc_id, node) says which row has a node's text."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of pairs (u, v) whose whole shingle sets, as sets(node, shingles) has them, are as similar."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+    part, whole = parts_of(similarity)
+    sizes = F.size("su") + F.size("sv")
+    alike = F.size(F.array_intersect("su", "sv")) * (part + whole) >= part * sizes
+    near = F.least(F.size("su"), F.size("sv")) * whole >= part * F.greatest(F.size("su"), F.size("sv"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").filter(near).filter(alike).select("u", "v")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in ab), similarity) for ab in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, ids)
-    side = lambda name: found.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv").mapInArrow(alike, "u long, v long")
+def parts_of(similarity: float) -> tuple[int, int]:
+    """The similarity as a ratio of whole numbers, so that comparisons are exact."""
+    ratio = Fraction(similarity).limit_denominator(1000)
+    return ratio.numerator, ratio.denominator
 
 
 def pairs_apart(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs (u, v), u > v, of nodes(node, root, size, prefix) with different roots that can be as similar.
 
-    A key's members meet part by part, so that a hot one is many tasks. At the first shingle that two sets share, what follows
-    in either bounds what they share in all.
-    """
-    keyed = nodes.select("node", "root", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest"))
-    whole = Window.partitionBy("key")
-    keyed = keyed.select("*", F.min("root").over(whole).alias("least"), F.max("root").over(whole).alias("most"), F.count("*").over(whole).alias("n"))
-    keyed = durable(keyed.filter("least < most").select("key", "node", "root", "size", "rest", F.ceil(F.col("n") / PART).alias("parts")))
-    a = keyed.select("key", F.struct("node", "root", "size", "rest").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    b = keyed.select("key", F.struct("node", "root", "size", "rest").alias("b"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    sizes = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
-    places = F.least("a.rest", "b.rest") * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
-    met = a.join(b, ["key", "part"]).filter((F.col("a.root") != F.col("b.root")) & sizes & places)
-    return met.filter("a.node > b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-
-
-def verified_in_blocks(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs whose whole shingle sets are as similar; nodes(node, doc_id, size).
-
-    Nodes that pairs connect fall into blocks of bounded size, so that a set goes to a pair of blocks once and not to each pair.
+    Keys of one root only go no further. The others' members meet part by part, so that a hot key is many tasks. Up to the last
+    shingle that two prefixes share, all that the sets share is in both prefixes; what follows in either bounds the rest.
     """
-
-    def alike(_: tuple, some: pa.Table, sets: pa.Table) -> pa.Table:
-        of = {n: np.frombuffer(s.as_buffer(), np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("shingles"), strict=True)}
-        u, v = (some.column(x).to_pylist() for x in "uv")
-        keep = [similar(of[a], of[b], similarity) for a, b in zip(u, v, strict=True)]
-        return pa.table([some.column("u"), some.column("v")], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
-
-    roots = components(pairs).withColumnRenamed("root", "joined")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "size"), "node")
-    asked = durable(asked.join(roots, asked["node"] == roots["u"], "left").select("node", "size", F.coalesce("joined", "node").alias("joined")))
-    blocks = asked.groupBy("joined").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks"))
-    placed = durable(asked.join(blocks, "joined").select("node", "joined", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
-    side = lambda name: placed.select(F.col("node").alias(name), "joined", F.col("block").alias(f"b{name}"))
-    task = F.xxhash64("joined", F.least("bu", "bv"), F.greatest("bu", "bv")).alias("task")
-    tasks = durable(pairs.join(side("u"), "u").join(side("v").drop("joined"), "v").select(task, "u", "v"))
-    needed = tasks.select("task", F.explode(F.array("u", "v")).alias("node")).distinct().join(shingle_sets(asked.select("node"), docs, nodes), "node")
-    return tasks.groupBy("task").cogroup(needed.select(F.col("task").alias("of"), "node", "shingles").groupBy("of")).applyInArrow(alike, "u long, v long")
+    part, whole = parts_of(similarity)
+    keyed = nodes.select("node", "root", "size", F.posexplode("prefix").alias("at", "key"))
+    keyed = keyed.select("key", "node", "root", F.col("size").cast("int").alias("size"), (F.col("size") - F.col("at")).cast("int").alias("rest"))
+    apart = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least < most")
+    keyed = durable(keyed.join(apart.select("key", F.ceil(F.col("n") / PART).alias("parts")), "key"))
+    one = F.struct("node", "root", "size", "rest")
+    a = keyed.select("key", one.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    b = keyed.select("key", one.alias("b"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    sizes = F.least("a.size", "b.size") * whole >= part * F.greatest("a.size", "b.size")
+    met = a.join(b, ["key", "part"]).filter((F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes)
+    met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), (F.col("a.size") + F.col("b.size")).alias("sizes"), F.col("a.rest").alias("ra"), F.col("b.rest").alias("rb"))
+    pairs = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("sizes").alias("sizes"))
+    found = durable(pairs.filter((F.col("n") + F.least("ra", "rb") - 1) * (part + whole) >= part * F.col("sizes")).select("u", "v"))
+    release(keyed)
+    return found
 
 
 def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,19 +231,30 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each. An empty table gives an empty result; other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).dropna(subset=["doc_id"])
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = durable(sketches(docs))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sketch", "keys", "size", "prefix")).alias("s"))
-    nodes = durable(nodes.select("node", "doc_id", "s.*"))
-    ids = nodes.select("node", "doc_id")
-    pairs = durable(candidates(nodes))
-    links = verified(pairs, docs, ids)
+    nodes = rows.groupBy("high", "low", "size").agg(F.min(F.struct("doc_id", "mark", "keys", "prefix")).alias("s"))
+    nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "size", "s.*"))
+    own = durable(rows.select("doc_id", "high", "low", "size").join(nodes.select("high", "low", "size", "node"), ["high", "low", "size"]).select("doc_id", "node"))
+    release(rows)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, nodes, repeated)
+        links = durable(verified(pairs, sets))
+        release(sets, pairs)
+        return links
+
+    links = links_of(candidates(nodes))
     roots = components(links)
-    apart = durable(pairs_apart(nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")))
-    more = verified_in_blocks(apart, docs, nodes)
+    rooted = nodes.select("node", "size", "prefix").join(small(roots), F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
+    more = links_of(pairs_apart(rooted))
+    release(links)
     roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more))
-    named = durable(ids.join(roots, ids["node"] == roots["u"], "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    named = durable(nodes.select("node", "doc_id").join(small(roots), F.col("node") == F.col("u"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    release(nodes, more)
     groups = named.join(named.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("node", "group_id")
-    return rows.select("doc_id", "node").join(groups, "node").select("doc_id", "group_id")
+    return own.join(groups, "node").select("doc_id", "group_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,11 +262,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that repeat an id are one document, of which one row stays. Rows without an id are never compared and stay.
     """
-    groups = near_copy_groups(df, id_col, text_col)
-    kept = durable(groups.groupBy("doc_id").agg(F.min("group_id").alias("group_id")).filter("doc_id = group_id").select(F.col("doc_id").alias(id_col)))
+    groups = near_copy_groups(df, id_col, text_col).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    dropped = durable(groups.filter("doc_id != group_id").select(F.col("doc_id").alias(id_col)))
+    rows = df.join(small(dropped), id_col, "left_anti").select(df.columns)
     ids = df.select(id_col).dropna()
-    rows = df.join(kept, id_col, "left_semi").select(df.columns)
     if not ids.groupBy(id_col).count().filter("count > 1").isEmpty():
+        at = fresh(df, "at")
         first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-        rows = rows.withColumn("__at", F.row_number().over(first)).filter("__at = 1").drop("__at")
-    return rows.unionByName(df.filter(F.col(id_col).isNull()))
+        rows = rows.withColumn(at, F.row_number().over(first)).filter((F.col(at) == 1) | F.col(id_col).isNull()).drop(at)
+    return rows

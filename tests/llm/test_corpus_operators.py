@@ -16,7 +16,7 @@ from pagemill.llm import golay, queries
 from pagemill.llm.components import components
 from pagemill.llm.fingerprints import document_fingerprints, edited_fingerprints, id_ranges
 from pagemill.llm.language import code_book, fit_languages, identify_languages
-from pagemill.llm.near_copies import candidates, drop_near_copies, near_copy_groups, shingle_set, words_of
+from pagemill.llm.near_copies import candidates, drop_near_copies, near_copy_groups, pairs_apart, shingle_set, words_of
 from pagemill.llm.neighbours import nearest
 from pagemill.llm.simhash import links, simhash, simhash_components
 from pagemill.llm.toxicity import ToxicModel, fit_toxicity, maximal_segments, score_toxicity
@@ -249,7 +249,7 @@ def test_near_copies_by_added_words(spark):
 
 
 def test_representatives_differ_from_key_to_key(spark):
-    nodes = spark.createDataFrame([(k, 0, [1, 2, 3, 4, 5]) for k in range(40)], "node long, sketch long, keys array<long>")
+    nodes = spark.createDataFrame([(k, [1, 2, 3, 4, 5]) for k in range(40)], "node long, keys array<long>")
     assert candidates(nodes).count() > 39 + 38 + 37  # the pairs of three nodes with all others
 
 
