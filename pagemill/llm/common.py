@@ -91,6 +91,17 @@ def id_remainder(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What make() gives, kept in this worker until another key is asked for, so that only one operator's tables are held."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def bounded_cache(cache: dict, most: int) -> None:
     """Empty a worker's cache once it holds more than `most` entries."""
     if len(cache) > most:

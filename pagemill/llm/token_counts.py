@@ -3,14 +3,19 @@
 Two deterministic transducers are compiled. The first reads character classes and emits, on its transitions, the bounds of
 the pre-tokens of byte-level BPE. A batch of texts is one long tape cut into chunks; every chunk yields its state map (for
 each entry state the exit state), the maps compose in a parallel prefix scan, and a second pass with the entry states now
-known emits the bounds of all chunks at once. The second transducer is the lexicon: its path for a pre-token ends in a
-transition that carries the number of tokens emitted for it. Paths are compiled when first met, from the vocabulary's own
-merges, and kept per worker within a bound. The count of a text is the sum of the numbers emitted along its path.
+known emits the bounds of all chunks at once.
+
+The second reads the bytes of a pre-token and emits, on each transition, by how much that byte changes the number of tokens of
+what was read. The tokens of a text without its last token t are the tokens of the shorter text, and t is the one token
+ending there that merges leave alone beside the token before it. So a state needs the longest suffix that a token may still
+go on from, and for each place within it the token that ends there and the number of tokens up to there, less that of the whole.
+Its transitions are compiled from the vocabulary's merges when first met and kept per worker within a bound; all distinct
+pre-tokens of a batch run through the table in step. The count of a text is the sum of what its path emits.
 """
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import batch_of, bounded_cache, byte_letters, rows_of, steps
+from pagemill.llm.common import batch_of, bounded_cache, byte_letters, held, rows_of, steps
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -30,10 +35,13 @@ RESET, SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, ONE, R, V, E, L = range(12)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, ONE_SPACE, ONE_WHITE, RUN_SPACE, RUN_WHITE, Q, Q_R, Q_V, Q_L, CONTRACTED = range(13)
 #: Emissions: a pre-token begins at this character, or at the one before.
 HERE, BEFORE = 1, 2
-CHUNK = 256
+#: Characters of a chunk, and of the texts that run together.
+CHUNK, CHARS = 256, 2_000_000
 #: Characters of a chunk that are read from every entry state before constant maps go on alone.
 SETTLE = 24
-MOST_PATHS = 1_000_000
+#: Transitions and pairs of tokens that a worker keeps; pre-tokens that run in step, and the bytes of one that runs alone, with the transitions kept meanwhile.
+MOST_TRANSITIONS, MOST_PAIRS, LANES, LONG, MOST_KNOWN = 1_000_000, 500_000, 1 << 16, 4096, 100_000
+BYTES = [bytes([b]) for b in range(256)]
 
 
 def compile_bounds() -> tuple[np.ndarray, np.ndarray]:
@@ -153,38 +161,183 @@ def distinct(points: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return np.concatenate([short[first], other]), same
 
 
-class Lexicon(dict):
-    """The second transducer: pre-token -> tokens emitted on its last transition; paths are compiled when first met."""
+class Merges:
+    """The tokens of a byte-level BPE vocabulary, and which two of them stand side by side in what merges make."""
 
-    def __init__(self, model):
-        self.model = model
-
-    def __missing__(self, pretoken: str) -> int:
-        word = pretoken[1:]
-        if pretoken[0] == " " and word.isascii() and word.isalpha():
-            letters = "\u0120" + word
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model = held["model"]
+        if model["type"] != "BPE" or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or held.get("normalizer"):
+            raise ValueError("only plain byte-level BPE is compiled")
+        byte = {letter: b for b, letter in byte_letters().items()}
+        text = lambda token: bytes(map(byte.__getitem__, token))
+        self.special = [t["content"] for t in held["added_tokens"]]
+        self.ids = {text(t): n for t, n in model["vocab"].items() if t not in self.special}
+        self.bytes = {n: t for t, n in self.ids.items()}
+        self.rank = {}
+        for k, m in enumerate(model["merges"]):
+            left, right = map(text, m.split(" ") if isinstance(m, str) else m)
+            self.rank[self.ids[left], self.ids[right]] = k, self.ids[left + right]
+        self.open = {t[:k] for t in self.ids for k in range(1, len(t))}  # what a token may still go on from
+        self.beside: dict[tuple[int, int], bool] = {}
+
+    def merged(self, text: bytes) -> list[int]:
+        """The tokens of a text: the first merge in rank, the leftmost of it, until none is left."""
+        ids = [self.ids[text[k : k + 1]] for k in range(len(text))]
+        while len(ids) > 1:
+            found = min(((self.rank[p], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank), default=None)
+            if found is None:
+                break
+            (_, whole), k = found
+            ids[k : k + 2] = [whole]
+        return ids
+
+    def stands(self, before: int, token: int) -> bool:
+        """Whether merges leave token as it is, after the token before it or, with before = -1, at the beginning."""
+        known = self.beside.get((before, token))
+        if known is None:
+            bounded_cache(self.beside, MOST_PAIRS)
+            text = self.bytes[token]
+            want = [token] if before < 0 else [before, token]
+            known = self.beside[before, token] = self.merged(text if before < 0 else self.bytes[before] + text) == want
+        return known
+
+
+#: A state: the open suffix, and for each place from its beginning to its end the token that ends there and the tokens up to there less all so far.
+State = tuple[bytes, tuple[int, ...], tuple[int, ...]]
+FIRST: State = (b"", (-1,), (0,))
+
+
+class CountTransducer:
+    """The transducer of token counts: transitions from (state, byte) to (state, emitted count) in an open hash table."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[State] = [FIRST]
+        self.number: dict[State, int] = {FIRST: 0}
+        self.made = 0
+        self.grow(1 << 16)
+
+    def grow(self, slots: int) -> None:
+        old = (self.key, self.to, self.out) if self.made else None
+        self.slots = slots
+        self.key, self.to, self.out = np.full(slots, -1, np.int64), np.zeros(slots, np.int32), np.zeros(slots, np.int16)
+        if old is not None:
+            there = old[0] >= 0
+            self.put(old[0][there], old[1][there], old[2][there])
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & self.slots - 1
+
+    def put(self, keys: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
+        """Enter distinct new keys; of those that want one slot the first gets it, the others look further."""
+        at = self.slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.key[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.key[at[won]], self.to[at[won]], self.out[at[won]] = keys[won], to[won], out[won]
+            left = left[self.key[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.slots - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of every key, -1 where it is not there."""
+        at = self.slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.key[at[left]]
+            at[left[held < 0]] = -1
+            left = left[(held != keys[left]) & (held >= 0)]
+            at[left] = at[left] + 1 & self.slots - 1
+        return at
+
+    def follow(self, state: State, byte: int) -> tuple[State, int]:
+        """The state after one more byte, and by how much the number of tokens changes."""
+        suffix, last, counts = state
+        whole = suffix + BYTES[byte]
+        ids, stands = self.merges.ids, self.merges.stands
+        for k in range(len(whole)):
+            token = ids.get(whole[k:])
+            if token is not None and stands(last[k], token):
+                break
         else:
-            letters = pretoken.encode().decode("latin-1").translate(byte_letters())
-        n = self[pretoken] = len(self.model.tokenize(letters))
-        return n
+            raise ValueError("a byte without a token")
+        change = counts[k] + 1
+        at = 0  # the longest suffix that is open
+        while at < len(whole) and whole[at:] not in self.merges.open:
+            at += 1
+        return (whole[at:], (*last[at:], token), (*(c - change for c in counts[at:]), 0)), change
+
+    def compile(self, keys: np.ndarray) -> None:
+        """Transitions for new keys: a state's number times 256, plus the byte."""
+        to, out = np.empty(len(keys), np.int32), np.empty(len(keys), np.int16)
+        for k, key in enumerate(keys.tolist()):
+            state, out[k] = self.follow(self.states[key >> 8], key & 255)
+            n = self.number.get(state)
+            if n is None:
+                n = self.number[state] = len(self.states)
+                self.states.append(state)
+            to[k] = n
+        self.made += len(keys)
+        while 2 * self.made > self.slots:
+            self.made -= len(keys)
+            self.grow(2 * self.slots)
+            self.made += len(keys)
+        self.put(keys, to, out)
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of tokens of the pre-tokens that begin at these places of data and have these sizes in bytes."""
+        total = np.zeros(len(begin), np.int64)
+        order = np.argsort(-size, kind="stable")
+        short = order[np.searchsorted(-size[order], -LONG, side="left") :]
+        for k in order[: len(order) - len(short)].tolist():
+            total[k] = self.one(data[begin[k] : begin[k] + size[k]].tobytes())
+        for lanes in (short[k : k + LANES] for k in range(0, len(short), LANES)):
+            if self.made > MOST_TRANSITIONS:
+                self.clear()
+            own, sizes, state = begin[lanes], size[lanes], np.zeros(len(lanes), np.int64)
+            for j in range(int(sizes[0]) if len(sizes) else 0):
+                n = int(np.searchsorted(-sizes, -j, side="left"))  # the lanes that have a byte left
+                keys = state[:n] << 8 | data[own[:n] + j]
+                at = self.find(keys)
+                if (at < 0).any():
+                    self.compile(np.unique(keys[at < 0]))
+                    at = self.find(keys)
+                state[:n] = self.to[at]
+                total[lanes[:n]] += self.out[at]
+        return total
+
+    def one(self, text: bytes) -> int:
+        """The number of tokens of one long pre-token; its states are kept for a while only."""
+        known: dict[tuple[State, int], tuple[State, int]] = {}
+        state, total = FIRST, 0
+        for byte in text:
+            step = known.get((state, byte))
+            if step is None:
+                bounded_cache(known, MOST_KNOWN)
+                step = known[state, byte] = self.follow(state, byte)
+            state, change = step
+            total += change
+        return total
 
 
 class Counter:
     """Counts tokens of texts with one vocabulary; one per Python worker."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        merges = Merges(path)
         self.go, self.out = compile_bounds()
-        self.paths = Lexicon(self.library.model)
-        found = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(found, key=len, reverse=True)))) if found else None
+        self.paths = CountTransducer(merges)
+        self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
 
     def count(self, texts: list[str]) -> np.ndarray:
         totals = np.zeros(len(texts), np.int64)
-        for a, b in steps(texts):
+        for a, b in steps(texts, CHARS):
             parts, owner = [], []
             for i in range(a, b):
                 own = self.special.split(texts[i]) if self.special and self.special.search(texts[i]) else [texts[i]]
@@ -202,18 +355,13 @@ class Counter:
             part = np.searchsorted(ends, at, side="right")
             stop = np.minimum(np.append(at[1:], len(whole)), ends[part] - 1)
             first, same = distinct(points, at, stop)
-            bounded_cache(self.paths, MOST_PATHS)
-            each = map(self.paths.__getitem__, map(whole.__getitem__, map(slice, at[first].tolist(), stop[first].tolist())))
-            counts = np.fromiter(each, np.int64, len(first))[same]
+            place = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])  # in bytes
+            data = np.frombuffer(whole.encode(), np.uint8)
+            counts = self.paths.counts(data, place[at[first]], place[stop[first]] - place[at[first]])[same]
             totals += np.bincount(np.array(owner)[part], weights=counts, minlength=len(texts)).astype(np.int64)
         return totals
 
 
-@lru_cache(maxsize=4)
-def counter(path: str) -> Counter:
-    return Counter(path)
-
-
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, as a byte-level BPE tokenizer file counts the whole text.
 
@@ -224,6 +372,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = rows_of(batch)
-            yield batch_of(SCHEMA, batch.column(0), [len(t.encode()) for t in texts], counter(tokenizer_path).count(texts))
+            counter = held(("token counts", tokenizer_path), lambda: Counter(tokenizer_path))
+            yield batch_of(SCHEMA, batch.column(0), [len(t.encode()) for t in texts], counter.count(texts))
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

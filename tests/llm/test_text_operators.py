@@ -7,7 +7,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
+from pagemill.llm import token_counts as token_counts_module
 from pagemill.llm.html_text import extract_text, html_text
 from pagemill.llm.licenses import BASE_PHRASES, NOTICE_PHRASES, evaluate, license_scan, postfix, scan
 from pagemill.llm.packing import WordIds, pack_documents, plan_patterns
@@ -30,20 +32,31 @@ def frame(spark, texts, kind="doc_id long, text string, n long, key string, leng
 
 
 def test_token_counts_are_the_library_s():
-    own, texts = Counter(BYTES), some_texts(3000)
-    assert own.count(texts).tolist() == [len(e.ids) for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    own, library, texts = Counter(BYTES), Tokenizer.from_file(BYTES), some_texts(3000)
+    assert own.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_transitions_come_again_after_a_clearing(monkeypatch):
+    monkeypatch.setattr(token_counts_module, "MOST_TRANSITIONS", 50)
+    monkeypatch.setattr(token_counts_module, "LANES", 7)
+    monkeypatch.setattr(token_counts_module, "LONG", 20)
+    monkeypatch.setattr(token_counts_module, "MOST_KNOWN", 5)
+    own, library, texts = Counter(BYTES), Tokenizer.from_file(BYTES), some_texts(300)[:300] + ["abcde" * 30, "qzx" * 50]
+    assert own.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_every_code_point_counts_alike():
-    own = Counter(BYTES)
+    own, library = Counter(BYTES), Tokenizer.from_file(BYTES)
     every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     texts = ["a" + "".join(f"{x}1{x} b" for x in every[i : i + 512]) for i in range(0, len(every), 512)]
-    assert own.count(texts).tolist() == [len(e.ids) for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert own.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_counts_rows(spark):
     got = token_counts(frame(spark, [None, "", "a b", "a b"]), BYTES).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_bytes, r.n_tokens) for r in got] == [(0, 0, 0), (1, 0, 0), (2, 3, 2), (3, 3, 2)]
+    df = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(df, BYTES).collect()) == [(0, 0), (0, 2), (1, 2), (1, 2)]
     assert token_counts(frame(spark, []), BYTES).count() == 0
 
 
