@@ -17,19 +17,18 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import batch_of, byte_letters, durable, rows_of
+from pagemill.llm.common import batch_of, byte_letters, durable, held, rows_of
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a worker keeps.
-MOST_WORDS = 800_000
+MOST_WORDS = 300_000
 #: Pieces of a length that one bucket ranks: at least, and at most.
 LEAST_BUCKET, MOST_BUCKET = 100, 1_000_000
 
@@ -81,11 +80,6 @@ class WordIds(dict):
             yield b"".join(map(self.__getitem__, t.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=4)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and then end_id, cut after every `capacity` ids.
 
@@ -94,9 +88,10 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids = held(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), word_ids(tokenizer_path).encode(rows_of(batch)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), word_ids.encode(rows_of(batch)), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
