@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,10 +53,13 @@ IMPLIED_END = {
 #: End tags stop looking for their start at these; those of table parts only at the table.
 SCOPES = frozenset("table td th caption html".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+#: Comments, declarations and text; tags are read by Tags.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|[^<]+|<", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_MARK = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-INVISIBLE_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
-#: Levels of nesting that the tree keeps; deeper elements become children of the last level.
+DISPLAY, VISIBILITY = (re.compile(rf"(?:^|[;\s]){name}\s*:\s*([a-z-]+)", re.IGNORECASE) for name in ("display", "visibility"))
+#: Levels of nesting that the tree keeps; what is deeper becomes children of the last level, as far as it is visible.
 DEPTH = 200
 SCHEMA = pa.schema([("page_id", pa.int64()), ("text", pa.string())])
 
@@ -85,8 +89,90 @@ class Node:
             return True
         if self.tag == "dialog" and self.attribute("open") is None:
             return True
-        style = self.attribute("style")
-        return bool(style and INVISIBLE_STYLE.search(style))
+        shown = DISPLAY.findall(self.attribute("style") or "")
+        return bool(shown) and shown[-1].lower() == "none"
+
+    def unseen(self, above: bool) -> bool:
+        """Whether the element's own text is invisible, above being so for what it stands in: descendants may be visible again."""
+        said = VISIBILITY.findall(self.attribute("style") or "") if self.attributes else ()
+        return said[-1].lower() in ("hidden", "collapse") if said and said[-1].lower() != "inherit" else above
+
+    def drop_unseen(self, unseen: bool = False) -> None:
+        """Take out what visibility hides, and the elements that hold nothing else."""
+        kept: list[Node | str] = []
+        for child in self.children:
+            if isinstance(child, str):
+                if not unseen:
+                    kept.append(child)
+            elif not child.hidden():
+                own = child.unseen(unseen)
+                child.drop_unseen(own)
+                if child.children or not own:
+                    kept.append(child)
+        self.children = kept
+
+
+class Tags:
+    """Finds the end of a tag in time linear in the page: quotes that turn out not to close are not trusted from there on."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quoted = html, {c: html.rfind(c) for c in "\"'>"}, True
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin here; -1 if none does."""
+        if at > self.last[">"]:
+            return -1
+        place = at
+        while self.quoted:
+            m = TAG_MARK.search(self.html, place)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() < self.last[m[0]]:
+                place = self.html.index(m[0], m.end()) + 1
+            else:
+                place = m.end()
+        return self.html.index(">", at)
+
+
+class Deep:
+    """Elements below the levels that the tree keeps: their tags, and whether they are gone or unseen."""
+
+    def __init__(self, above: list[Node]):
+        self.gone = any(n.hidden() for n in above)
+        self.unseen = False
+        for n in above:
+            self.unseen = n.unseen(self.unseen)
+        self.above = self.unseen
+        self.open: list[tuple[str, bool, bool]] = []
+        self.many: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.open.append((node.tag, self.gone, self.unseen))
+        self.many[node.tag] += 1
+        self.gone = self.gone or node.hidden()
+        self.unseen = node.unseen(self.unseen)
+
+    def end(self, tag: str) -> bool:
+        """End the innermost element of this tag, if there is one here."""
+        if not self.many[tag]:
+            return False
+        own = ""
+        while own != tag:
+            own, self.gone, self.unseen = self.open.pop()
+            self.many[own] -= 1
+        return True
+
+    def text(self, text: str) -> list[Node | str]:
+        """What stands for a text in the last level of the tree."""
+        if self.gone or self.unseen:
+            return []
+        if not self.above:
+            return [text]
+        seen = Node("span", 'style="visibility:visible"', 0)
+        seen.children.append(text)
+        return [seen]
 
 
 def build_tree(html: str) -> Node:
@@ -94,7 +180,7 @@ def build_tree(html: str) -> Node:
     root = Node("html", "", 0)
     open_: list[Node] = [root]
     at, size = 0, len(html)
-    lowered = None
+    lowered, tags, deep = None, Tags(html), None
 
     def close(tags, stop) -> None:
         """End the innermost element of `tags` with all in it, if no element of `stop` comes first."""
@@ -105,17 +191,23 @@ def build_tree(html: str) -> Node:
             if open_[k].tag in stop:
                 return
 
+    def put(text: str) -> None:
+        open_[-1].children += deep.text(text) if deep else [text]
+
     while at < size:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        m = TAG.match(html, at)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:  # no tag
+            m = TOKEN.match(html, at)
+            at = m.end()
             text = m[0]
             if text[0] != "<" or text == "<":
                 if open_[-1].tag in ("head", "colgroup") and not text.isspace():
                     open_.pop()
-                open_[-1].children.append(unescape(text) if "&" in text else text)
+                put(unescape(text) if "&" in text else text)
             continue
+        tag, attributes = m[2], html[m.end() : end]
+        at = end + 1
         tag = tag.lower()
         if m[1]:
             if tag in ("html", "body"):
@@ -124,19 +216,30 @@ def build_tree(html: str) -> Node:
                 if open_[-1].tag in ("head", "colgroup"):
                     open_.pop()
                 open_[-1].children.append(Node("br", "", 0))
+            elif deep and deep.end(tag):
+                if tag in BLOCK and not deep.gone:  # the line ends here
+                    open_[-1].children.append(Node("div", "", 0))
+                if not deep.open:
+                    deep = None
             elif tag == "p" and not any(n.tag == "p" for n in open_):
                 open_[-1].children.append(Node("p", "", 0))
             else:
+                levels = len(open_)
                 close((tag,), {"table"} - {tag} if tag in TABLE_PARTS else SCOPES)
+                if len(open_) < levels:
+                    deep = None
             continue
         if tag == "html":
-            root.attributes = root.attributes or m[3]
+            root.attributes = root.attributes or attributes
             continue
         if (open_[-1].tag == "head" and tag not in IN_HEAD) or (open_[-1].tag == "colgroup" and tag not in IN_COLGROUP):
             open_.pop()
-        if tag in ENDS_PARAGRAPH:
+        if tag in ENDS_PARAGRAPH and not deep:
             close(("p",), SCOPES | {"button", "div", "article", "section", "main", "li"})
-        if tag in IMPLIED_END:
+        if deep and tag in IMPLIED_END and deep.open[-1][0] in IMPLIED_END[tag][0]:
+            deep.end(deep.open[-1][0])
+            deep = deep if deep.open else None
+        elif tag in IMPLIED_END and not deep:
             ends, stop = IMPLIED_END[tag]
             while any(open_[k].tag in ends for k in range(len(open_) - 1, 0, -1)):
                 before = len(open_)
@@ -144,9 +247,12 @@ def build_tree(html: str) -> Node:
                 if len(open_) == before:
                     break
         foreign = open_[-1].within if open_[-1].tag != "foreignobject" else ""
-        node = Node(tag, m[3].rstrip("/ \t\r\n"), len(open_), tag if tag in UNSEEN_WITHIN else foreign)
-        open_[-1].children.append(node)
-        if node.within and m[3].endswith("/"):  # only there does a slash end an element
+        node = Node(tag, attributes.rstrip("/ \t\r\n"), len(open_), tag if tag in UNSEEN_WITHIN else foreign)
+        if not deep or not (deep.gone or deep.unseen):
+            open_[-1].children.append(node)
+        elif not deep.gone and tag in BLOCK:
+            open_[-1].children.append(Node("div", "", 0))
+        if node.within and attributes.endswith("/"):  # only there does a slash end an element
             continue
         if tag in RAW:
             lowered = html.lower() if lowered is None else lowered
@@ -160,8 +266,14 @@ def build_tree(html: str) -> Node:
             node.children.append(unescape(raw) if tag in ("title", "textarea") else raw)
             end = html.find(">", stop_at)
             at = size if end < 0 else end + 1
-        elif tag not in VOID and len(open_) < DEPTH:
-            open_.append(node)
+        elif tag not in VOID:
+            if len(open_) < DEPTH:
+                open_.append(node)
+            else:
+                deep = deep or Deep(open_)
+                deep.push(node)
+    if re.search("visibility", html, re.IGNORECASE):
+        root.drop_unseen(root.unseen(False))
     return root
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -196,6 +197,46 @@ def test_html_implied_ends_and_foreign_text(page, shown):
     assert html_text(page) == shown
 
 
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><img alt=no></div>z", "yes\nz"),
+        ("<div style='visibility:hidden'>no<p>no</p></div>z", "z"),
+        ("<p style='display:none;visibility:visible'>no<i style='visibility:visible'>no</i>", ""),
+        ("a <p 'x>b", "a\n\nb"),
+        ('<a title="1 > 0">b</a>', "b"),
+        ("x<a <a <a", "x<a <a <a"),
+    ],
+)
+def test_html_visibility_and_quotes(page, shown):
+    assert html_text(page) == shown
+
+
+@pytest.mark.parametrize("levels", [100, 250, 10_000])
+def test_html_hides_at_any_depth(levels):
+    page = "<div>" * levels + "a<div hidden>secret<p>more</p></div>b<div style='visibility:hidden'>no<b style='visibility:visible'>c</b></div>" + "</div>" * levels + "end"
+    assert html_text(page).split() == ["ab", "c", "end"]
+    assert html_text("<div hidden>" + "<div>" * levels + "secret" + "</div>" * levels + "</div>seen") == "seen"
+    assert html_text("<div style='visibility:hidden'>" + "<div>" * levels + "no<i style='visibility:visible'>yes</i>") .split() == ["yes"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", "<a \"'>", "<", "<a x='>", "</x>", "<div></x>", "<!--", "<p>", "<li>", "<table>", "&"])
+def test_html_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text(page)
+    assert time.process_time() - began < 30
+    if piece == "<a ":
+        assert time.process_time() - began < 3
+
+
+def test_html_of_repeated_rows_and_clashing_columns(spark):
+    schema = "page_id long, html string, text string, tag string"
+    got = extract_text(spark.createDataFrame([(1, "<p>x", "u", "t"), (1, "<p>x", "u", "t"), (None, "y", None, None)], schema)).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, "y"), (1, "x"), (1, "x")]
+    assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_html_rows(spark):
     got = extract_text(spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>x", "u")], "page_id long, html string, text string")).orderBy("page_id").collect()
     assert [r.text for r in got] == [None, "", "x"]
