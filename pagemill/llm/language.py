@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import STEP_CHARS, batch_of, rows_of, steps
 
 UNDETERMINED = "und"
-#: Labelled texts a language that the classifiers are fitted on, and about how many in all that many languages share.
-SAMPLE, ROWS = 400, 8000
+#: Labelled texts a language that the classifiers are fitted on, and about how many in all that many languages share: the fit
+#: takes about 0.5 GB of the driver for so many, whatever the number of languages.
+SAMPLE, ROWS = 400, 4000
 #: Buckets of hashed n-grams, the n, ridge penalty, and the share of the two nearest words below which a text is ambiguous.
 BUCKETS, GRAMS, RIDGE, CLEAR = 1 << 13, (1, 2, 3), 1e-3, 0.6
 #: ASCII letters stay, other ASCII reads as a blank.
@@ -133,12 +134,14 @@ def fit_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "lang", "x"])
 
     found = picked.mapInArrow(run, f"{rows.schema['doc_id'].name} {rows.schema['doc_id'].dataType.simpleString()}, lang string, x binary").orderBy("doc_id", "lang").limit(2 * sample * len(languages)).toPandas()
-    x = np.array([np.frombuffer(r, np.float16) for r in found["x"]]).astype(np.float32) if len(found) else np.zeros((0, BUCKETS), np.float32)
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for k, r in enumerate(found.pop("x")):
+        x[k] = np.frombuffer(r, np.float16)
     y = np.searchsorted(languages, found["lang"].to_numpy(str)) if len(found) else np.zeros(0, int)
     code = code_book(len(languages))
     target = code[y]
     centre, aim = x.mean(axis=0) if len(x) else np.zeros(BUCKETS, np.float32), target.mean(axis=0) if len(x) else np.zeros(code.shape[1])
-    x = x - centre
+    x -= centre
     gram = (x @ x.T).astype(np.float64)
     gram[np.diag_indices(len(gram))] += RIDGE * max(np.trace(gram) / max(len(gram), 1), 1e-12)
     weights = x.T @ np.linalg.solve(gram, target - aim) if len(x) else np.zeros((BUCKETS, code.shape[1]))
