@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemill.llm.common import durable, keep_rows, table
 from pagemill.llm.language import UNDETERMINED, fit_languages
@@ -21,7 +20,7 @@ from pagemill.llm.toxicity import fit_toxicity, words_of
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity operator, fitted on the labelled ones outside its held-out part, scores 0.5 or more."""
-    model = fit_toxicity(docs.filter(~held_out(5, 0)), table(spark, sf_dir, "labels"))
+    model = fit_toxicity(docs.filter(~held_out(5, 0)), table(spark, sf_dir, "labels").filter(~held_out(5, 0)))
 
     def clean(text: str) -> bool:
         words = words_of(text)
