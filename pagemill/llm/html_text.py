@@ -154,15 +154,20 @@ class Deep:
         self.gone = self.gone or node.hidden()
         self.unseen = node.unseen(self.unseen)
 
-    def end(self, tag: str) -> bool:
-        """End the innermost element of this tag, if there is one here."""
-        if not self.many[tag]:
-            return False
-        own = ""
+    def end(self, tag: str) -> list[Node]:
+        """End the innermost element of this tag, which is there; a line ends with it if it is a visible block."""
+        own, was_gone = "", False
         while own != tag:
+            was_gone = self.gone
             own, self.gone, self.unseen = self.open.pop()
             self.many[own] -= 1
-        return True
+        return [Node("div", "", 0)] if tag in BLOCK and not was_gone else []
+
+    def stand_in(self, node: Node) -> list[Node]:
+        """What stands for an element in the last level of the tree: for a block the end of a line."""
+        if node.hidden() or (self.unseen and node.tag not in BLOCK):
+            return []
+        return [Node("div", "", 0)] if node.tag in BLOCK and node.tag not in VOID else [node]
 
     def text(self, text: str) -> list[Node | str]:
         """What stands for a text in the last level of the tree."""
@@ -216,11 +221,9 @@ def build_tree(html: str) -> Node:
                 if open_[-1].tag in ("head", "colgroup"):
                     open_.pop()
                 open_[-1].children.append(Node("br", "", 0))
-            elif deep and deep.end(tag):
-                if tag in BLOCK and not deep.gone:  # the line ends here
-                    open_[-1].children.append(Node("div", "", 0))
-                if not deep.open:
-                    deep = None
+            elif deep and deep.many[tag]:
+                open_[-1].children += deep.end(tag)
+                deep = deep if deep.open else None
             elif tag == "p" and not any(n.tag == "p" for n in open_):
                 open_[-1].children.append(Node("p", "", 0))
             else:
@@ -237,7 +240,7 @@ def build_tree(html: str) -> Node:
         if tag in ENDS_PARAGRAPH and not deep:
             close(("p",), SCOPES | {"button", "div", "article", "section", "main", "li"})
         if deep and tag in IMPLIED_END and deep.open[-1][0] in IMPLIED_END[tag][0]:
-            deep.end(deep.open[-1][0])
+            open_[-1].children += deep.end(deep.open[-1][0])
             deep = deep if deep.open else None
         elif tag in IMPLIED_END and not deep:
             ends, stop = IMPLIED_END[tag]
@@ -248,11 +251,14 @@ def build_tree(html: str) -> Node:
                     break
         foreign = open_[-1].within if open_[-1].tag != "foreignobject" else ""
         node = Node(tag, attributes.rstrip("/ \t\r\n"), len(open_), tag if tag in UNSEEN_WITHIN else foreign)
-        if not deep or not (deep.gone or deep.unseen):
+        if not deep and len(open_) == DEPTH and tag not in VOID and tag not in RAW:
+            deep = Deep(open_)
+        if not deep:
             open_[-1].children.append(node)
-        elif not deep.gone and tag in BLOCK:
-            open_[-1].children.append(Node("div", "", 0))
+        elif not deep.gone:
+            open_[-1].children += deep.stand_in(node)
         if node.within and attributes.endswith("/"):  # only there does a slash end an element
+            deep = deep if deep and deep.open else None
             continue
         if tag in RAW:
             lowered = html.lower() if lowered is None else lowered
@@ -270,7 +276,6 @@ def build_tree(html: str) -> Node:
             if len(open_) < DEPTH:
                 open_.append(node)
             else:
-                deep = deep or Deep(open_)
                 deep.push(node)
     if re.search("visibility", html, re.IGNORECASE):
         root.drop_unseen(root.unseen(False))
