@@ -16,7 +16,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import batch_of, rows_of
+from pagemill.llm.common import batch_of, held, rows_of
 
 BLANK = "▁"
 #: What a character without a piece scores below the least piece score, and distinct units that a worker remembers solved and ranked.
@@ -198,9 +197,8 @@ def combine(ways: list[tuple[int, list]], n: int) -> list[tuple[float, list]]:
     return best
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return held(("pieces", path), lambda: Vocabulary(path))
 
 
 def encode_pieces(df: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,7 +66,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = fit_toxicity(documents.filter(~held_out(5, 0)), table(spark, sf_dir, "labels"))
+    model = fit_toxicity(*(table(spark, sf_dir, t).filter(~held_out(5, 0)) for t in ("documents", "labels")))
     found = score_toxicity(documents, model)
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 

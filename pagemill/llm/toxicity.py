@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import batch_of, durable, rows_of
 
 #: Labelled texts of each class that the model is fitted on, features kept, and distinct words a worker remembers.
-SAMPLE, MOST_FEATURES, MOST_WORDS = 4000, 20_000, 500_000
+SAMPLE, MOST_FEATURES, MOST_WORDS = 4000, 20_000, 200_000
 #: Lengths of character n-grams (word ends marked), prior's weight in tokens, standard errors taken off, least evidence, texts that a feature needs.
 GRAMS, PRIOR, ERRORS, LEAST, LEAST_TEXTS = (4, 5, 6), 1000.0, 2.0, 2.0, 5
 #: What a token without evidence costs, and the chance segments expected below which one is significant.
