@@ -35,16 +35,25 @@ def wide_hash(canon: Column, digits: int = 32) -> Column:
     return F.substring(F.concat(one(canon), one(F.lit(1), canon)), 1, digits)
 
 
+def buckets(canon: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Of canon(doc_id, canon, fingerprint): its classes of equal bytes, the same by fingerprint alone, and whether that is enough.
+
+    A task first leaves one copy of each text, so that no bucket meets in one task as full texts.
+    """
+    own = canon.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    found = durable(own.groupBy("fingerprint").agg(F.count("*").alias("n_texts"), F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size")))
+    return own, found.drop("n_texts"), found.filter("n_texts > 1").isEmpty()
+
+
 def classes(docs: DataFrame, digits: int = 32) -> DataFrame:
     """(doc_id, fingerprint, class_id, class_size) of docs(doc_id, text): documents of equal canonical bytes are a class.
 
     class_id is the smallest doc_id of the class, null only if all are null. Repeated rows count in class_size.
     """
     canon = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", wide_hash(F.col("canon"), digits))
-    own = canon.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    found = durable(own.groupBy("fingerprint").agg(F.count("*").alias("n_texts"), F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size")))
-    if found.filter("n_texts > 1").isEmpty():
-        return canon.select("doc_id", "fingerprint").join(found.drop("n_texts"), "fingerprint")
+    own, found, alone = buckets(canon)
+    if alone:
+        return canon.select("doc_id", "fingerprint").join(found, "fingerprint")
     return canon.join(own, ["fingerprint", "canon"]).drop("canon")  # a collision: only the bytes tell
 
 
@@ -107,11 +116,11 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digits: int = 32) -> DataFrame:
-    """Fingerprints of every text and of its edited text, whose last third is replaced by the beginning of the next text.
+    """Fingerprints and classes of every text, and those of its edited text, whose last third is replaced by the beginning of the next text.
 
     The next text is that of the next lower id, of the lowest id the highest's; a single document is its own next. near_edited
-    and near_next are 1.0 if the canonical bytes agree with the edited text's or the next text's, else 0.0. Nulls, ties
-    and repeated rows as in document_fingerprints and with_next.
+    and near_next are 1.0 if the canonical bytes agree with the edited text's or the next text's, else 0.0. class_id and
+    class_size are those of document_fingerprints. Nulls, ties and repeated rows as there and in with_next.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("fingerprint", wide_hash(canonical(F.col("text")), digits))
@@ -120,8 +129,12 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
     rows = rows.withColumn("edited", edited).withColumn("edited_canon", canonical(F.col("edited"))).withColumn("edited_fingerprint", wide_hash(F.col("edited_canon"), digits))
     alike = lambda same, other: F.when(same, (canonical(F.col("text")) == other).cast("double")).otherwise(F.lit(0.0))
-    return rows.select(
+    found = rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         alike(F.col("fingerprint") == F.col("edited_fingerprint"), F.col("edited_canon")).alias("near_edited"),
-        alike(F.col("fingerprint") == F.col("next_fingerprint"), canonical(F.col("next_text"))).alias("near_next"),
+        alike(F.col("fingerprint") == F.col("next_fingerprint"), canonical(F.col("next_text"))).alias("near_next"), "text",
     )
+    own, by_print, alone = buckets(docs.select("doc_id", canonical(F.col("text")).alias("canon"), "fingerprint"))
+    if alone:
+        return found.drop("text").join(by_print, "fingerprint")
+    return found.withColumn("canon", canonical(F.col("text"))).drop("text").join(own, ["fingerprint", "canon"]).drop("canon")

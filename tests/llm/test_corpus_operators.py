@@ -48,13 +48,17 @@ def test_edited_fingerprints(spark, digits):
     df = frame(spark, [t for _, t in rows], [k for k, _ in rows])
     got = {r.doc_id: r for r in edited_fingerprints(df, digits=digits).collect()}
     assert len(got) == len(rows)
-    prints = {}
+    prints, first, size = {}, {}, {}
+    for k, t in rows:
+        own = canonical(t or "")
+        first[own], size[own] = min(first.get(own, k), k), size.get(own, 0) + 1
     for i, (k, t) in enumerate(rows):
         t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
         r = got[k]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.near_edited, r.near_next) == (float(canonical(t) == canonical(edited)), float(canonical(t) == canonical(after)))
+        assert (r.class_id, r.class_size) == (first[canonical(t)], size[canonical(t)])
         prints.setdefault(canonical(t), set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in prints.values())
     if digits == 32:
@@ -82,6 +86,40 @@ def test_fingerprints_of_odd_tables(spark):
     assert edited_fingerprints(df).count() == 4
 
 
+CONTRACTS = {
+    "op1_best_fit_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op2_license_scan": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
+    "op3_document_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    "op4_html_extraction": {"page_id": "bigint", "text": "string"},
+    "op5_nearest_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op6_simhash_near_dedup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op7_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op8_sentencepiece": {"doc_id": "bigint"},
+    "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op10_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_registered_queries_keep_their_contract(spark, name):
+    found = queries.QUERIES[name](spark, SF)
+    kinds = dict(found.dtypes)
+    assert {c: kinds.get(c) for c in CONTRACTS[name]} == CONTRACTS[name]
+    rows = found.collect()
+    if name not in ("op1_best_fit_packing", "op5_nearest_neighbours"):
+        table = "pages" if name.startswith("op4") else "documents"
+        assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert all(0 <= r.score <= 1 for r in rows) or name in ("op5_nearest_neighbours", "op8_sentencepiece") if "score" in kinds else rows
+
+
+def test_toxicity_on_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in queries.op9_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    found = sum(p for p, t in held if t) / sum(t for _, t in held)
+    assert found > 0.6 and sum(p for p, t in held if not t) / len(held) < 0.01
+
+
 def test_ranges_cover_all_ids(spark):
     bounds, heads, before = id_ranges(spark.range(5000).withColumnRenamed("id", "doc_id"))
     assert len(bounds) >= 5 and heads[0] == 4999 and len(heads) == len(before) == len(bounds) + 1
@@ -108,6 +146,26 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_recall_as_registered(spark):
+    """At the candidates that the query reranks, on the largest of the tables, against all inner products."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    found = {}
+    for r in queries.op5_nearest_neighbours(spark, sf).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(found[q] & set(ids[[i for i in np.lexsort((ids, -(x @ x[ids == q][0]))) if ids[i] != q][:20]].tolist())) for q in ids[ids % 20 == 0].tolist()]
+    assert len(found) == len(hits) and sum(hits) / (20 * len(hits)) >= 0.9
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    for size in (1e200, 1e-200):
+        r = np.random.default_rng(3)
+        x = r.standard_normal((60, 8)) * size
+        got = nearest(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+        assert len(got) == 15 and {g.query_id for g in got} == {0, 20, 40}
+
+
 def test_neighbours_of_odd_vectors(spark):
     vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.5, 2.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
