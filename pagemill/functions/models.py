@@ -26,5 +26,5 @@ def missing_models(wanted: DataFrame, available: DataFrame) -> DataFrame:
     """wanted(model) of which available(name) has neither the name nor any tag of it; nothing if nothing is available."""
     base = F.substring_index(F.col("model"), ":", 1)
     hits = available.select("name", F.substring_index("name", ":", 1).alias("base"), F.contains("name", F.lit(":")).alias("tagged"))
-    found = wanted.join(hits, (F.col("model") == F.col("name")) | ((base == F.col("base")) & F.col("tagged")), "left_anti")
+    found = wanted.join(hits, F.col("model") == F.col("name"), "left_anti").join(hits.filter("tagged").select("base").distinct(), base == F.col("base"), "left_anti")
     return found.join(F.broadcast(available.limit(1).select(F.lit(True).alias("any"))), F.lit(True), "left_semi")

@@ -117,19 +117,33 @@ def effective_delay(delay_ms: Column, crawl_delay: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """an href made absolute, for absolute, scheme-relative, rooted and sibling hrefs without dot segments."""
+    """an href made absolute: absolute, scheme-relative, rooted, sibling, query-only and fragment-only ones, dot segments resolved."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
+    front, back = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, "(?s)[?#].*$", 0)
+    joined = lambda p: F.concat(root, without_dots(p), back)
     return (
         F.when(F.regexp_extract(href, PARTS, 1) != "", href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), joined(front))
         .when(href == "", base)
         .when(href.startswith("?"), F.concat(root, path(base), href))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), href))
+        .otherwise(joined(F.concat(F.when(folder == "", "/").otherwise(folder), front)))
     )
 
 
+def without_dots(path_: Column) -> Column:
+    """An absolute path without `.` and `..` segments; those that lead above the root go."""
+    def kept(parts: Column) -> Column:
+        up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))
+        step = lambda a, s: F.when(s == ".", a).when(s == "..", up(a)).otherwise(F.concat(a, F.array(s)))
+        whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return F.concat(F.array_join(whole, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+    return F.when(path_.rlike(r"/\.\.?(/|$)"), kept(F.split(path_, "/"))).otherwise(path_)
+
+
 def file_path(url: Column, base: Column) -> Column:
     """the file of a page below the output folder."""
     own, front = path(url), bare_path(base)

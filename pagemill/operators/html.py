@@ -171,96 +171,142 @@ def _density(own: Element) -> float:
     return sum(len(p.text()) - sum(len(a.text()) for a in p.walk() if a.name == "a") for p in paragraphs)
 
 
-def markdown_of(root: Element) -> str:
-    """Headings with marks, links, emphasis, code, lists, quotes and tables; other tags vanish, their text stays."""
-
-    def inner(own: Element, pre: bool = False) -> str:
-        return "".join(show(c, pre) for c in own.children)
-
-    def show(own: Element | str, pre: bool) -> str:
-        if isinstance(own, str):
-            return own if pre else re.sub(r"\s+", " ", own)
-        name = own.name
-        if name in ("script", "style", "head", "template"):
-            return ""
-        if name == "br":
-            return "  \n"
-        if name == "hr":
-            return "\n\n---\n\n"
-        if name == "img":
-            return f"![{own.attributes.get('alt', '')}]({own.attributes.get('src', '')})"
-        if name == "pre":
-            code = next((c for c in own.walk() if c.name == "code"), own)
-            language = next((c[9:] for c in code.attributes.get("class", "").split() if c.startswith("language-")), "")
-            return f"\n\n```{language}\n{own.text().strip(chr(10))}\n```\n\n"
-        if name == "table":
-            rows = [[" ".join(c.text(" ", True).split()).replace("|", r"\|") for c in r.walk() if c.name in ("td", "th")] for r in own.walk() if r.name == "tr"]
-            rows = [r for r in rows if r]
-            lines = ["| " + " | ".join(r) + " |" for r in rows]
-            return "\n\n" + "\n".join([*lines[:1], "|" + " --- |" * len(rows[0]), *lines[1:]]) + "\n\n" if rows else ""
-        text = inner(own, pre)
-        bare = text.strip()
-        if len(name) == 2 and name[0] == "h" and name[1] in "123456":
-            return f"\n\n{'#' * int(name[1])} {' '.join(bare.split())}\n\n" if bare else ""
-        if name == "a":
-            return f"[{bare}]({own.attributes['href']})" if bare and own.attributes.get("href") else text
-        if name in ("b", "strong") and bare:
-            return f"**{bare}**"
-        if name in ("i", "em") and bare:
-            return f"*{bare}*"
-        if name == "code" and bare:
-            return f"`{bare}`"
-        if name == "li":
-            number = own.parent is not None and own.parent.name == "ol"
-            place = [c for c in own.parent.children if isinstance(c, Element) and c.name == "li"].index(own) + 1 if number else 0
-            return "\n" + (f"{place}. " if number else "* ") + re.sub(r"\n+", "\n  ", bare)
-        if name in ("ul", "ol"):
-            return f"\n\n{text.strip()}\n\n" if own.parent is None or own.parent.name != "li" else f"\n{text.strip(chr(10))}"
-        if name == "blockquote" and bare:
-            return "\n\n> " + re.sub(r"\n", "\n> ", bare) + "\n\n"
-        if name in ("p", "div", "section", "article", "main", "aside", "header", "footer", "nav", "figure", "form", "body", "html"):
-            return f"\n\n{bare}\n\n" if bare else ""
-        return text
-
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", lambda m: m[0] if m[0] == "  \n" else "\n", inner(root))).strip()
+#: Elements that stand as paragraphs of their own, and those that give no Markdown.
+APART = frozenset("p div section article main aside header footer nav figure form body html".split())
+SILENT = frozenset("script style head template".split())
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 
 
-def html_to_markdown(html: str) -> str:
-    return markdown_of(parse(html))
+def table_cells(own: Element) -> list[list[str]]:
+    """The texts of a table's cells, row by row."""
+    return [[c.text(" ", True) for c in r.walk() if c.name in ("td", "th")] for r in own.walk() if r.name == "tr"]
 
 
-def blocks_of(own: Element) -> list[dict]:
-    """The typed blocks of an element, in document order."""
-    name = own.name
+def heading_level(name: str) -> int:
+    """1 to 6, or 0 for what is no heading."""
+    return int(name[1]) if len(name) == 2 and name[0] == "h" and name[1] in "123456" else 0
+
 
-    def block(kind: str, content: str, **more) -> list[dict]:
-        return [{"type": kind, "content": content, "level": None, "language": None, "alt": None} | more] if content else []
+def code_of(own: Element) -> tuple[Element | None, str | None]:
+    """The code element inside, and the language that its class names."""
+    code = next((c for c in own.walk() if c.name == "code"), None)
+    marks = code.attributes.get("class", "").split() if code is not None else []
+    return code, next((m.removeprefix("language-") for m in marks if m.startswith("language-")), None)
 
-    if len(name) == 2 and name[0] == "h" and name[1] in "123456":
-        return block("heading", own.text(" ", True), level=int(name[1]))
+
+def _whole_markdown(own: Element) -> str | None:
+    """The Markdown of elements that are shown without that of their children; null for others."""
+    name = own.name
+    if name in SILENT:
+        return ""
+    if name == "br":
+        return "  \n"
+    if name == "hr":
+        return "\n\n---\n\n"
+    if name == "img":
+        return f"![{own.attributes.get('alt', '')}]({own.attributes.get('src', '')})"
     if name == "pre":
-        code = next((c for c in own.walk() if c.name == "code"), None)
-        marks = code.attributes.get("class", "").split() if code is not None else []
-        language = next((m[len("language-") :] for m in marks if m.startswith("language-")), None)
-        return [{"type": "code", "content": (code or own).text(), "level": None, "language": language, "alt": None}]
-    if name == "code":
-        return block("code", own.text()) if own.text().strip() else []
+        return f"\n\n```{code_of(own)[1] or ''}\n{own.text().strip(chr(10))}\n```\n\n"
     if name == "table":
-        rows = [[c.text(" ", True) for c in r.walk() if c.name in ("td", "th")] for r in own.walk() if r.name == "tr"]
-        return block("table", json.dumps(rows)) if rows else []
+        rows = [[" ".join(c.split()).replace("|", r"\|") for c in r] for r in table_cells(own) if r]
+        lines = ["| " + " | ".join(r) + " |" for r in rows]
+        return "\n\n" + "\n".join([*lines[:1], "|" + " --- |" * len(rows[0]), *lines[1:]]) + "\n\n" if rows else ""
+    return None
+
+
+def _markdown_around(own: Element, text: str, number: int) -> str:
+    """The Markdown of an element whose children's is text; number: a list item's place in an ordered list, or 0."""
+    name, bare = own.name, text.strip()
+    if level := heading_level(name):
+        return f"\n\n{'#' * level} {' '.join(bare.split())}\n\n" if bare else ""
+    if name == "a":
+        return f"[{bare}]({own.attributes['href']})" if bare and own.attributes.get("href") else text
+    if name in MARKS and bare:
+        return MARKS[name] + bare + MARKS[name]
+    if name == "li":
+        return "\n" + (f"{number}. " if number else "* ") + re.sub(r"\n+", "\n  ", bare)
     if name in ("ul", "ol"):
-        items = [c.text(" ", True) for c in own.children if isinstance(c, Element) and c.name == "li"]
-        return [{"type": "list", "content": "\n".join(items), "level": None, "language": None, "alt": None}] if items else []
-    if name == "blockquote":
-        return block("blockquote", own.text("\n", True))
-    if name == "img":
-        return block("image", own.attributes.get("src", ""), alt=own.attributes.get("alt") or None)
-    if name == "p":
-        return block("paragraph", own.text(" ", True))
-    if name in CONTAINERS:
-        return [b for c in own.children if isinstance(c, Element) for b in blocks_of(c)]
-    text = own.text(" ", True)
-    return block("paragraph", text) if len(text) > LEAST_FALLBACK else []
+        return f"\n\n{bare}\n\n" if own.parent is None or own.parent.name != "li" else "\n" + text.strip("\n")
+    if name == "blockquote" and bare:
+        return "\n\n> " + bare.replace("\n", "\n> ") + "\n\n"
+    if name in APART:
+        return f"\n\n{bare}\n\n" if bare else ""
+    return text
+
+
+def markdown_of(root: Element) -> str:
+    """Headings with marks, links, emphasis, code, lists, quotes and tables; other tags vanish, their text stays.
+
+    Elements are shown from the last to the first, children before their parents, so that nesting of any depth is no recursion.
+    """
+    shown: dict[int, str] = {}
+    numbers: dict[int, int] = {}
+
+    def inside(own: Element) -> str:
+        return "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else shown.pop(id(c)) for c in own.children)
+
+    every = list(root.walk())
+    for own in every:
+        if own.name == "ol":
+            numbers |= {id(c): k for k, c in enumerate((c for c in own.children if isinstance(c, Element) and c.name == "li"), 1)}
+    for own in reversed(every):
+        text = inside(own)
+        whole = _whole_markdown(own)
+        shown[id(own)] = _markdown_around(own, text, numbers.get(id(own), 0)) if whole is None else whole
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", lambda m: m[0] if m[0] == "  \n" else "\n", inside(root))).strip()
+
+
+def html_to_markdown(html: str) -> str:
+    return markdown_of(parse(html))
+
+
+def _block(kind: str, content: str, level: int | None = None, language: str | None = None, alt: str | None = None) -> dict:
+    return {"type": kind, "content": content, "level": level, "language": language, "alt": alt}
+
+
+def _list_block(own: Element) -> dict | None:
+    items = [c.text(" ", True) for c in own.children if isinstance(c, Element) and c.name == "li"]
+    return _block("list", "\n".join(items)) if items else None
+
+
+def _table_block(own: Element) -> dict | None:
+    rows = table_cells(own)
+    return _block("table", json.dumps(rows)) if rows else None
+
+
+def _pre_block(own: Element) -> dict:
+    code, language = code_of(own)
+    return _block("code", (code or own).text(), language=language)
+
+
+def _text_block(kind: str, joint: str = " ", **more) -> Callable[[Element], dict | None]:
+    """A maker of blocks whose content is the element's text; none if there is no text."""
+    return lambda own: _block(kind, text, **more) if (text := own.text(joint, True)) else None
+
+
+#: What makes the block of an element, by its tag.
+BLOCK_OF: dict[str, Callable[[Element], dict | None]] = {
+    **{f"h{k}": _text_block("heading", level=k) for k in range(1, 7)},
+    "p": _text_block("paragraph"),
+    "blockquote": _text_block("blockquote", "\n"),
+    "ul": _list_block, "ol": _list_block, "table": _table_block, "pre": _pre_block,
+    "code": lambda own: _block("code", own.text()) if own.text().strip() else None,
+    "img": lambda own: _block("image", own.attributes["src"], alt=own.attributes.get("alt") or None) if own.attributes.get("src") else None,
+}
+
+
+def blocks_of(root: Element) -> list[dict]:
+    """The typed blocks of an element, in document order; containers give those of what is in them."""
+    found, open_ = [], [root]
+    while open_:
+        own = open_.pop()
+        if own.name in BLOCK_OF:
+            found.append(BLOCK_OF[own.name](own))
+        elif own.name in CONTAINERS:
+            open_ += [c for c in reversed(own.children) if isinstance(c, Element)]
+        elif len(text := own.text(" ", True)) > LEAST_FALLBACK:
+            found.append(_block("paragraph", text))
+    return [b for b in found if b]
 
 
 def structured(html: str) -> tuple[str | None, list[dict]]:
@@ -330,6 +376,19 @@ def to_blocks(df: DataFrame, html_col: str = "html") -> DataFrame:
     return _mapped(df, html_col, {"title": ("string", pa.string()), "blocks": (BLOCKS, BLOCK_TYPE)}, structured)
 
 
+def links_of(html: str) -> tuple[list[str], list[str]]:
+    """Hrefs of navigation links that begin neither as fragments nor as scripts, and those of all links to pages."""
+    tests = [selector(t) for t in NAV_SELECTORS]
+    anchors = [e for e in parse(html).walk() if e.name == "a" and e.attributes.get("href")]
+    nav = [e.attributes["href"] for e in anchors if any(t(e) for t in tests) and not e.attributes["href"].startswith(("#", "javascript:"))]
+    return nav, [e.attributes["href"] for e in anchors if not re.search("#|javascript:|mailto:|tel:", e.attributes["href"], re.IGNORECASE)]
+
+
+def to_links(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """Df without the page, with nav and links, arrays of hrefs in document order, and error."""
+    return _mapped(df, html_col, {c: ("array<string>", pa.list_(pa.string())) for c in ("nav", "links")}, links_of)
+
+
 # Expressions for what needs no tree.
 
 

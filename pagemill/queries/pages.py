@@ -54,13 +54,13 @@ def page_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT page_id, {ROOT} || h AS link FROM (SELECT page_id, url, unnest({HREFS}) AS h FROM pages)")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages(spark, sf_dir).select("page_id", "url", F.explode(html.hrefs(F.col("html"))).alias("h")).withColumn("link", urls.resolve(F.col("url"), F.col("h")))
+    found = html.to_links(pages(spark, sf_dir)).select("page_id", "url", F.explode("links").alias("h")).withColumn("link", urls.resolve(F.col("url"), F.col("h")))
     return found.filter(urls.same_domain(F.col("link"), F.col("url"))).select("page_id", "link").distinct()
 
 
 @query(f"SELECT page_id, {ROOT} || h AS link FROM (SELECT DISTINCT page_id, url, unnest({NAV}) AS h FROM pages) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {ROOT} || h) <= 100")
 def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages(spark, sf_dir).select("page_id", "url", F.explode(F.array_distinct(html.nav_hrefs(F.col("html")))).alias("h"))
+    found = html.to_links(pages(spark, sf_dir)).select("page_id", "url", F.explode(F.array_distinct("nav")).alias("h"))
     links = found.select("page_id", urls.resolve(F.col("url"), F.col("h")).alias("link")).distinct().groupBy("page_id")
     return links.agg(F.slice(F.array_sort(F.collect_list("link")), 1, html.MOST_NAV).alias("l")).select("page_id", F.explode("l").alias("link"))
 
@@ -96,8 +96,8 @@ def page_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: per host, pages and URLs, blocked, kept and duplicate pages; first wins by page_id."""
     u = F.col("url")
-    rows = pages(spark, sf_dir).select("page_id", urls.normalize(u).alias("url_norm"), urls.canonical(u).alias("url_canon"), urls.authority(u).alias("host"), html.visible_text(F.col("html")).alias("text"))
-    rows = rows.select("page_id", "url_norm", "url_canon", "host", text.is_blocked(F.col("text")).alias("blocked"), text.content_hash(F.col("text")).alias("hash"), F.length("text").alias("n"))
+    rows = pages(spark, sf_dir).select("page_id", urls.normalize(u).alias("url_norm"), urls.canonical(u).alias("url_canon"), urls.authority(u).alias("host"), "html")
+    rows = text.once(text.once(rows, text=html.visible_text(F.col("html"))), blocked=text.is_blocked(F.col("text")), hash=text.content_hash(F.col("text")), n=F.length("text")).drop("html", "text")
     first = rows.filter("not blocked").groupBy("hash").agg(F.min("page_id").alias("first"))
     return rows.join(first, "hash", "left").groupBy("host").agg(
         F.count("*").alias("pages"), F.countDistinct("url_norm").alias("urls"), F.countDistinct("url_canon").alias("canonical_urls"), F.count_if("blocked").alias("blocked"),

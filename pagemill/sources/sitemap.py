@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls
 
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
-#: Levels of indexes that are followed; a cycle ends there.
-MOST_LEVELS = 5
 #: Addresses of sitemaps that every site may have (fixed values).
 LOCATIONS = ("/sitemap.xml", "/sitemap_index.xml")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df checkpointed where the session has a folder for that, else as it is: plans then grow by a join a level."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
+
+
 def read_bodies(spark, path: str) -> DataFrame:
     """(sitemap_url, body) of stored files, gzipped or not; the file's path stands for the URL."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("sitemap_url"), F.col("content").alias("body"))
@@ -70,15 +73,13 @@ def robots_sitemaps(bodies: DataFrame) -> DataFrame:
 def site_urls(bodies: DataFrame, roots: DataFrame, base: Column, any_namespace: bool = False) -> DataFrame:
     """(url) normalised, of all sitemaps reached from roots(sitemap_url), on base's host and below its path.
 
-    Children are found by a join a level; bodies are parsed once. Missing bodies give nothing.
+    Children are found by a join a level, at any depth; bodies are parsed once. Missing bodies give nothing.
     """
     parsed = parse_sitemaps(bodies, any_namespace).distinct().cache()
     level = seen = roots.select("sitemap_url").distinct()
-    for _ in range(MOST_LEVELS):
+    while not level.isEmpty():  # a level has only what no level before it had, so that cycles end
         children = parsed.filter("kind = 'sitemap'").join(level, "sitemap_url").select(F.col("loc").alias("sitemap_url")).distinct()
-        level = children.join(seen, "sitemap_url", "left_anti")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+        level = cut_lineage(children.join(seen, "sitemap_url", "left_anti"))
+        seen = cut_lineage(seen.unionByName(level))
     found = parsed.filter("kind = 'url'").join(seen, "sitemap_url", "left_semi").select(F.col("loc").alias("url"))
     return found.filter(urls.same_domain(F.col("url"), base) & urls.under_path(F.col("url"), base)).select(urls.normalize(F.col("url")).alias("url")).distinct()

@@ -1,6 +1,8 @@
 """Literal and property tests of the column functions."""
 
+import random
 import re
+from urllib.parse import urljoin
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagemill.functions import lines, text, urls
-from pagemill.operators.chunk import cut_by_size
+from pagemill.operators.chunk import cut_by_size, spans
 
 
 def one(spark, value, *columns):
@@ -127,3 +129,26 @@ def test_cut_by_size():
     assert cut_by_size("  ", 1000) == [] and cut_by_size("tiny", 1000) == ["tiny"]
     headed = "a" * 700 + "\n# next\n" + "b" * 900
     assert cut_by_size(headed, 1000)[1].endswith("b") and cut_by_size(headed, 1000)[0] == "a" * 700
+
+
+def test_resolve_as_the_library_does(spark):
+    base = "https://h.example/docs/v1/page.html?q=1#top"
+    hrefs = ["x", "../x", "../../x", "../../../../x", "./x", "a/../b", ".", "..", "../", "/a/./b/../c", "/a/b/..", "//other.example/a", "?z=2", "x?y=../z", "#part", "x#a/../b", "https://k.example/a"]
+    df = spark.createDataFrame([(base, h) for h in hrefs], "base string, href string")
+    got = {r.href: r.u for r in df.select("href", urls.resolve(F.col("base"), F.col("href")).alias("u")).collect()}
+    assert got == {h: urljoin(base, h) for h in hrefs}
+
+
+def test_pieces_end_where_they_should():
+    r = random.Random(4)
+    for _ in range(300):
+        body = "".join(r.choices(["word ", "\n", "\n\n", "\n# head ", "x" * 60], k=r.randint(1, 200)))
+        for a, b in (found := list(spans(body, 400))):
+            assert 0 < b - a <= 400
+            own, half = body[a:b], 200
+            if b < len(body):
+                best = [own.rfind(m, half if m == "\n#" else half + 1) for m in ("\n#", "\n\n", "\n")]
+                tail = body[a : a + 400]
+                heading, paragraph, line = (tail.rfind(m, half + (m != "\n#")) for m in ("\n#", "\n\n", "\n"))
+                assert len(own) == (heading + 1 if heading >= 0 else paragraph + 2 if paragraph >= 0 else line + 1 if line >= 0 else 400), best
+        assert all(c == b - 200 for (_, b), (c, _) in zip(found, found[1:], strict=False)) and (not found or found[-1][1] == len(body))

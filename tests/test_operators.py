@@ -187,3 +187,25 @@ def test_live_source(spark):
     assert open_[root + "/a"].body == "# é" and open_[root + "/a"].tokens == 7 and open_[root + "/gone"].status == 404
     assert "not public" in read()[root + "/a"].error
     server.shutdown()
+
+
+def test_pages_nested_to_any_depth():
+    deep = "<div>" * 5000 + "<p>inside</p>" + "</div>" * 5000
+    assert html.html_to_markdown(deep) == "inside"
+    assert [b["content"] for b in html.structured("<body>" + deep)[1]] == ["inside"]
+    assert "450" in html.html_to_markdown("<ul>" + "".join(f"<li>{k}" for k in range(451)))
+
+
+def test_links_of_the_tree():
+    page = """<nav><ul><li><a href='/one'>1</a></ul></nav><div class="x sidebar"><p><a href=/two>2</a></div><div role='navigation'><a href="#f">f</a></div>
+    <a href='mailto:x@y'>m</a><a href="/three?a=1&amp;b=2">3</a><a>none</a><a href="JavaScript:x">s</a>"""
+    assert html.links_of(page) == (["/one", "/two"], ["/one", "/two", "/three?a=1&b=2"])
+
+
+def test_sitemap_indexes_of_any_depth(spark):
+    space = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = lambda *u: f"<sitemapindex {space}>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    bodies = [(f"https://h/s{k}", index(f"https://h/s{k + 1}", "https://h/s0")) for k in range(8)] + [("https://h/s8", f"<urlset {space}><url><loc>https://h/docs/a</loc></url></urlset>")]
+    df = spark.createDataFrame(bodies, "sitemap_url string, body string")
+    found = sitemap.site_urls(df, df.filter("sitemap_url = 'https://h/s0'"), F.lit("https://h/"))
+    assert [r.url for r in found.collect()] == ["https://h/docs/a"]
