@@ -40,7 +40,7 @@ COUNTED, SHARE, FREQUENT = 2_000_000, 1e-3, 100_000
 PART, CHARS = 256, 1_000_000
 FACTORS = np.random.default_rng(20).integers(1, 1 << 63, len(SEGMENTS), dtype=np.uint64) | np.uint64(1)
 SKETCHES = pa.schema([
-    ("doc_id", pa.int64()), ("mark", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
+    ("doc_id", pa.int64()), ("mark", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("size", pa.int64()), ("rare", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
 ])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -102,14 +102,19 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found.view(np.uint64)[order], n[order]
 
 
-def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+def counts_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many texts hold each of the shingles, 0 for those that are not frequent."""
+    known, counts = frequent
+    if not len(known):
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return np.where(known[at] == shingles, counts[at], 0)
+
+
+def prefix_of(shingles: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The first shingles, the rare before the frequent: two sets as similar share one of theirs under any common order."""
     n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1 if len(shingles) else 0
-    known, counts = frequent
-    if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        shingles = shingles[np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")]
-    return shingles[:n].view(np.int64)
+    return shingles[np.argsort(counts, kind="stable")][:n].view(np.int64)
 
 
 def golay_keys(words: list[bytes], shingles: np.ndarray) -> np.ndarray:
@@ -129,7 +134,10 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, high, low, size, keys, prefix) of every row of docs(doc_id, text, mark); texts of under five words have no keys."""
+    """(doc_id, mark, high, low, size, rare, keys, prefix) of every row of docs(doc_id, text, mark); rare counts the shingles that few texts hold.
+
+    Texts of under five words have no keys.
+    """
     frequent = frequent_shingles(docs)
     none = np.zeros(0, np.int64)
 
@@ -137,30 +145,34 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = rows_of(batch)
             for a, b in steps(texts, CHARS):
-                hashes, sizes, keys, prefixes = [], [], [], []
+                hashes, sizes, rare, keys, prefixes = [], [], [], [], []
                 for words in map(words_of, texts[a:b]):
                     shingles = shingle_set(words) if len(words) >= SHINGLE else none
                     hashes.append(text_hash(words))
+                    counts = counts_of(shingles, frequent)
                     sizes.append(len(shingles))
+                    rare.append(int((counts == 0).sum()))
                     keys.append(golay_keys(words, shingles) if len(shingles) else none)
-                    prefixes.append(prefix_of(shingles, frequent) if len(shingles) else none)
-                yield batch_of(SKETCHES, batch.column(0)[a:b], batch.column(2)[a:b], *zip(*hashes, strict=True), sizes, lists(keys), lists(prefixes))
+                    prefixes.append(prefix_of(shingles, counts) if len(shingles) else none)
+                yield batch_of(SKETCHES, batch.column(0)[a:b], batch.column(2)[a:b], *zip(*hashes, strict=True), sizes, rare, lists(keys), lists(prefixes))
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, high long, low long, size long, keys array<long>, prefix array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, high long, low long, size long, rare long, keys array<long>, prefix array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes(node, keys) that share a key: all of a key of a few, with representatives in one of many.
+    """Pairs (u, v), u > v, of nodes(node, rare, keys) that share a key: all of a key of a few, with representatives in one of many.
 
-    Keys are first only counted, so that the many which one node has alone go no further.
+    One representative is the node with the fewest rare shingles: of copies with edits of their own it is nearest to what they
+    were made from. Keys are first only counted, so that the many which one node has alone go no further.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "rare", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = durable(keyed.join(shared, "key"))
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))  # at most FEW
     few = few.select(F.posexplode("all").alias("at", "u"), "all").select("u", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("v"))
     hot = members.filter(F.col("n") > FEW)
-    picks = hot.groupBy("key").agg(*(F.min_by("node", F.xxhash64("key", "node", F.lit(k))).alias(f"r{k}") for k in range(REPRESENTATIVES)))
+    ranks = (F.struct("rare", "node"), *(F.struct(F.xxhash64("key", "node", F.lit(k)), "node") for k in range(1, REPRESENTATIVES)))
+    picks = hot.groupBy("key").agg(*(F.min(r)["node"].alias(f"r{k}") for k, r in enumerate(ranks)))
     many = hot.join(picks, "key").select(F.col("node").alias("u"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("v"))
     pairs = few.unionByName(many).filter("u != v")
     found = durable(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -234,7 +246,7 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.withColumn("mark", F.xxhash64("text"))
     repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = durable(sketches(docs))
-    nodes = rows.groupBy("high", "low", "size").agg(F.min(F.struct("doc_id", "mark", "keys", "prefix")).alias("s"))
+    nodes = rows.groupBy("high", "low", "size").agg(F.min(F.struct("doc_id", "mark", "rare", "keys", "prefix")).alias("s"))
     nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "size", "s.*"))
     own = durable(rows.select("doc_id", "high", "low", "size").join(nodes.select("high", "low", "size", "node"), ["high", "low", "size"]).select("doc_id", "node"))
     release(rows)

@@ -307,7 +307,7 @@ def test_near_copies_by_added_words(spark):
 
 
 def test_representatives_differ_from_key_to_key(spark):
-    nodes = spark.createDataFrame([(k, [1, 2, 3, 4, 5]) for k in range(40)], "node long, keys array<long>")
+    nodes = spark.createDataFrame([(k, k, [1, 2, 3, 4, 5]) for k in range(40)], "node long, rare long, keys array<long>")
     assert candidates(nodes).count() > 39 + 38 + 37  # the pairs of three nodes with all others
 
 
