@@ -227,7 +227,8 @@ def pairs_apart(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     a = keyed.select("key", one.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     b = keyed.select("key", one.alias("b"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
     sizes = F.least("a.size", "b.size") * whole >= part * F.greatest("a.size", "b.size")
-    met = a.join(b, ["key", "part"]).filter((F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes)
+    rests = F.least("a.rest", "b.rest") * (part + whole) >= part * (F.col("a.size") + F.col("b.size"))  # holds for the first of those shared, then up to one of them
+    met = a.join(b, ["key", "part"]).filter((F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes & rests)
     met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), (F.col("a.size") + F.col("b.size")).alias("sizes"), F.col("a.rest").alias("ra"), F.col("b.rest").alias("rb"))
     pairs = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("sizes").alias("sizes"))
     found = durable(pairs.filter((F.col("n") + F.least("ra", "rb") - 1) * (part + whole) >= part * F.col("sizes")).select("u", "v"))
