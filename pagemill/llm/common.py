@@ -15,23 +15,26 @@ from pyspark.sql import functions as F
 STEP_CHARS = 4_000_000
 #: Rows of numbers that a broadcast may have: about 20 MB.
 MOST_BROADCAST = 500_000
+#: Rows that a partition of a checkpoint should have at least: each partition is a file, and each later stage has a task for it.
+ROWS_A_PART = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent and no folder was set otherwise (a local test session) is a folder of its own made.
+    With a number of rows, about how many df has, few rows are put into few partitions. Only where that setting is absent and
+    no folder was set otherwise (a local test session) is a folder of its own made.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_PART)))).checkpoint(eager=True)
 
 
 def release(*frames: DataFrame) -> None:

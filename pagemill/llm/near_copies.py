@@ -159,7 +159,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, high long, low long, size long, rare long, keys array<long>, prefix array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """Pairs (u, v), u > v, of nodes(node, rare, keys) that share a key: all of a key of a few, with representatives in one of many.
 
     One representative is the node with the fewest rare shingles: of copies with edits of their own it is nearest to what they
@@ -175,12 +175,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
     picks = hot.groupBy("key").agg(*(F.min(r)["node"].alias(f"r{k}") for k, r in enumerate(ranks)))
     many = hot.join(picks, "key").select(F.col("node").alias("u"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("v"))
     pairs = few.unionByName(many).filter("u != v")
-    found = durable(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    found = durable(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     release(members)
     return found
 
 
-def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool, n: int | None = None) -> DataFrame:
     """(node, shingles) of the nodes asked for; nodes(node, doc_id, mark) says which rows of docs(doc_id, text, mark) have a node's text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated:
             for a, b in steps(texts, CHARS):
                 yield batch_of(SETS, batch.column(0)[a:b], lists([shingle_set(words_of(t)).view(np.int64) for t in texts[a:b]]))
 
-    rows = durable(nodes.select("node", "doc_id", "mark").join(asked, "node", "left_semi"))
+    rows = durable(nodes.select("node", "doc_id", "mark").join(asked, "node", "left_semi"), n)
     found = docs.join(small(rows), ["doc_id", "mark"]).select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
     found = durable(found.dropDuplicates(["node"]) if repeated else found)
     release(rows)
@@ -212,7 +212,7 @@ def parts_of(similarity: float) -> tuple[int, int]:
     return ratio.numerator, ratio.denominator
 
 
-def pairs_apart(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def pairs_apart(nodes: DataFrame, similarity: float = SIMILARITY, rows: int | None = None) -> DataFrame:
     """All pairs (u, v), u > v, of nodes(node, root, size, prefix) with different roots that can be as similar.
 
     Keys of one root only go no further. The others' members meet part by part, so that a hot key is many tasks. Up to the last
@@ -231,7 +231,7 @@ def pairs_apart(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = a.join(b, ["key", "part"]).filter((F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes & rests)
     met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), (F.col("a.size") + F.col("b.size")).alias("sizes"), F.col("a.rest").alias("ra"), F.col("b.rest").alias("rb"))
     pairs = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.min("sizes").alias("sizes"))
-    found = durable(pairs.filter((F.col("n") + F.least("ra", "rb") - 1) * (part + whole) >= part * F.col("sizes")).select("u", "v"))
+    found = durable(pairs.filter((F.col("n") + F.least("ra", "rb") - 1) * (part + whole) >= part * F.col("sizes")).select("u", "v"), rows)
     release(keyed)
     return found
 
@@ -243,31 +243,37 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty; all wordless texts are alike. Texts of one to four words link only to equal ones. Rows of a repeated id give a row
     each. An empty table gives an empty result; other columns are not read.
     """
+    return grouped(df, id_col, text_col)[0]
+
+
+def grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """near_copy_groups, and how many rows it has. What is stored between its steps has about a row a text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).dropna(subset=["doc_id"])
     docs = docs.withColumn("mark", F.xxhash64("text"))
     repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = durable(sketches(docs))
+    n = rows.count()
     nodes = rows.groupBy("high", "low", "size").agg(F.min(F.struct("doc_id", "mark", "rare", "keys", "prefix")).alias("s"))
-    nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "size", "s.*"))
-    own = durable(rows.select("doc_id", "high", "low", "size").join(nodes.select("high", "low", "size", "node"), ["high", "low", "size"]).select("doc_id", "node"))
+    nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "size", "s.*"), n)
+    own = durable(rows.select("doc_id", "high", "low", "size").join(nodes.select("high", "low", "size", "node"), ["high", "low", "size"]).select("doc_id", "node"), n)
     release(rows)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, nodes, repeated)
-        links = durable(verified(pairs, sets))
+        sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, nodes, repeated, n)
+        links = durable(verified(pairs, sets), n)
         release(sets, pairs)
         return links
 
-    links = links_of(candidates(nodes))
-    roots = components(links)
+    links = links_of(candidates(nodes, n))
+    roots = components(links, n)
     rooted = nodes.select("node", "size", "prefix").join(small(roots), F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
-    more = links_of(pairs_apart(rooted))
+    more = links_of(pairs_apart(rooted, rows=n))
     release(links)
-    roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more))
-    named = durable(nodes.select("node", "doc_id").join(small(roots), F.col("node") == F.col("u"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), n)
+    named = durable(nodes.select("node", "doc_id").join(small(roots), F.col("node") == F.col("u"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), n)
     release(nodes, more)
     groups = named.join(named.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("node", "group_id")
-    return own.join(groups, "node").select("doc_id", "group_id")
+    return own.join(groups, "node").select("doc_id", "group_id"), n
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,8 +281,9 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that repeat an id are one document, of which one row stays. Rows without an id are never compared and stay.
     """
-    groups = near_copy_groups(df, id_col, text_col).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    dropped = durable(groups.filter("doc_id != group_id").select(F.col("doc_id").alias(id_col)))
+    groups, n = grouped(df, id_col, text_col)
+    groups = groups.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    dropped = durable(groups.filter("doc_id != group_id").select(F.col("doc_id").alias(id_col)), n)
     rows = df.join(small(dropped), id_col, "left_anti").select(df.columns)
     ids = df.select(id_col).dropna()
     if not ids.groupBy(id_col).count().filter("count > 1").isEmpty():
