@@ -9,7 +9,8 @@ that a group of near copies is never expanded into all pairs. The pairs are veri
 That joins nearly all groups in work that is linear in the texts, but proves nothing about the pairs it leaves out. So an
 exact prefix join follows for what is still apart: with all shingles in one order, the rare first, two sets at 0.8 share one of
 the first n - ceil(0.8 n) + 1 of each. All pairs of different groups that share such a shingle are looked at, however many
-share it, but for those whose sizes, or whose places of the last such shingle, rule 0.8 out; they are verified as before.
+share it, but for those whose sizes, or whose places of the last such shingle, rule 0.8 out. Few of them are alike: the sets of
+16-bit hashes, a quarter as large, rule out nearly all the others, and what they leave is verified as before.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ FACTORS = np.random.default_rng(20).integers(1, 1 << 63, len(SEGMENTS), dtype=np
 SKETCHES = pa.schema([
     ("doc_id", pa.int64()), ("mark", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("size", pa.int64()), ("rare", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())),
 ])
-SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+SHORT_SETS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("shingles", pa.list_(pa.int16()))])
 
 
 def text_hash(words: list[bytes]) -> tuple[int, int]:
@@ -127,10 +129,10 @@ def golay_keys(words: list[bytes], shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def lists(parts: list[np.ndarray]) -> pa.ListArray:
-    """One list of 64-bit numbers a part."""
+def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    """One list of numbers a part."""
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *parts]).view(kind)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -180,29 +182,42 @@ def candidates(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     return found
 
 
-def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool, n: int | None = None) -> DataFrame:
-    """(node, shingles) of the nodes asked for; nodes(node, doc_id, mark) says which rows of docs(doc_id, text, mark) have a node's text."""
+def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool, n: int | None = None, short: bool = False) -> DataFrame:
+    """(node, size, shingles) of the nodes asked for; nodes(node, doc_id, mark) says which rows of docs(doc_id, text, mark) have a node's text.
+
+    size counts the shingles; short has of each hash the last 16 bits only, and equal ones once.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = rows_of(batch)
             for a, b in steps(texts, CHARS):
-                yield batch_of(SETS, batch.column(0)[a:b], lists([shingle_set(words_of(t)).view(np.int64) for t in texts[a:b]]))
+                found = [shingle_set(words_of(t)) for t in texts[a:b]]
+                sizes = list(map(len, found))
+                if short:
+                    yield batch_of(SHORT_SETS, batch.column(0)[a:b], sizes, lists([np.unique(f.astype(np.uint16)).view(np.int16) for f in found], np.int16))
+                else:
+                    yield batch_of(SETS, batch.column(0)[a:b], sizes, lists([f.view(np.int64) for f in found]))
 
     rows = durable(nodes.select("node", "doc_id", "mark").join(asked, "node", "left_semi"), n)
-    found = docs.join(small(rows), ["doc_id", "mark"]).select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+    found = docs.join(small(rows), ["doc_id", "mark"]).select("node", "text").mapInArrow(sets, f"node long, size int, shingles array<{'smallint' if short else 'long'}>")
     found = durable(found.dropDuplicates(["node"]) if repeated else found)
     release(rows)
     return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of pairs (u, v) whose whole shingle sets, as sets(node, shingles) has them, are as similar."""
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+    """Those of pairs (u, v) whose shingle sets, as sets(node, size, shingles) has them, are as similar.
+
+    With short hashes those that can be: what two texts share has its short hashes shared too, but for shingles of one text
+    that have one short hash, of which there are size less what the set holds.
+    """
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("size").alias(f"n{name}"), F.col("shingles").alias(f"s{name}"))
     part, whole = parts_of(similarity)
-    sizes = F.size("su") + F.size("sv")
-    alike = F.size(F.array_intersect("su", "sv")) * (part + whole) >= part * sizes
-    near = F.least(F.size("su"), F.size("sv")) * whole >= part * F.greatest(F.size("su"), F.size("sv"))
+    merged = lambda name: F.col(f"n{name}") - F.size(f"s{name}")
+    common = F.size(F.array_intersect("su", "sv")) + F.least(merged("u"), merged("v"))
+    alike = common.cast("long") * (part + whole) >= (F.col("nu").cast("long") + F.col("nv")) * part
+    near = F.least("nu", "nv").cast("long") * whole >= F.greatest("nu", "nv").cast("long") * part
     return pairs.join(side("u"), "u").join(side("v"), "v").filter(near).filter(alike).select("u", "v")
 
 
@@ -258,16 +273,16 @@ def grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     own = durable(rows.select("doc_id", "high", "low", "size").join(nodes.select("high", "low", "size", "node"), ["high", "low", "size"]).select("doc_id", "node"), n)
     release(rows)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, nodes, repeated, n)
+    def checked(pairs: DataFrame, short: bool) -> DataFrame:
+        sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, nodes, repeated, n, short)
         links = durable(verified(pairs, sets), n)
         release(sets, pairs)
         return links
 
-    links = links_of(candidates(nodes, n))
+    links = checked(candidates(nodes, n), short=False)
     roots = components(links, n)
     rooted = nodes.select("node", "size", "prefix").join(small(roots), F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
-    more = links_of(pairs_apart(rooted, rows=n))
+    more = checked(checked(pairs_apart(rooted, rows=n), short=True), short=False)  # most pairs are not alike: short hashes tell
     release(links)
     roots = components(roots.select("u", F.col("root").alias("v")).unionByName(more), n)
     named = durable(nodes.select("node", "doc_id").join(small(roots), F.col("node") == F.col("u"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), n)
