@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters that one step of a Python operator handles at a time; a longer single text is a step of its own.
 STEP_CHARS = 4_000_000
+#: Rows whose texts a Python operator holds at a time, where Arrow batches are larger.
+ROWS_A_STEP = 1_000
 #: Rows of numbers that a broadcast may have: about 20 MB.
 MOST_BROADCAST = 500_000
 #: Rows that a partition of a checkpoint should have at least: each partition is a file, and each later stage has a task for it.
@@ -80,6 +82,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, ROWS_A_STEP at most in a batch."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS_A_STEP):
+            yield batch.slice(a, ROWS_A_STEP)
+
+
 def rows_of(batch: pa.RecordBatch, text: int = 1) -> list[str]:
     """The texts of a batch; null reads as empty."""
     return [t or "" for t in batch.column(text).to_pylist()]
@@ -122,7 +131,7 @@ def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], l
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

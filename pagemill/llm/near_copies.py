@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import golay
-from pagemill.llm.common import batch_of, durable, fresh, release, rows_of, small, steps
+from pagemill.llm.common import batch_of, durable, fresh, parts, release, rows_of, small, steps
 from pagemill.llm.components import components
 from pagemill.llm.simhash import SEGMENTS, SHINGLES_A_STEP, shingles_of, simhash, words_of
 
@@ -36,7 +36,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Nodes of a key that are paired all with all; representatives beyond that.
 FEW, REPRESENTATIVES = 16, 3
 #: Shingles that a task counts at a time, the share of texts that makes one frequent there, and the most that are told. Only the order depends on it.
-COUNTED, SHARE, FREQUENT = 2_000_000, 1e-3, 100_000
+COUNTED, SHARE, FREQUENT = 1_000_000, 1e-3, 100_000
 #: Members of a key that meet in one part of the prefix join; characters of the texts that a task takes at a time.
 PART, CHARS = 256, 1_000_000
 FACTORS = np.random.default_rng(20).integers(1, 1 << 63, len(SEGMENTS), dtype=np.uint64) | np.uint64(1)
@@ -87,7 +87,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.record_batch([pa.array(found[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["shingle", "n"])
 
         size = 0
-        for batch in batches:
+        for batch in parts(batches):
             for words in map(words_of, rows_of(batch)):
                 if len(words) >= SHINGLE:
                     held.append(shingle_set(words))
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = rows_of(batch)
             for a, b in steps(texts, CHARS):
                 hashes, sizes, rare, keys, prefixes = [], [], [], [], []
@@ -189,7 +189,7 @@ def shingle_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, repeated:
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = rows_of(batch)
             for a, b in steps(texts, CHARS):
                 found = [shingle_set(words_of(t)) for t in texts[a:b]]
