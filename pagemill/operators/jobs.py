@@ -122,7 +122,7 @@ def until_terminal(events: DataFrame, job: str, order: Column, kind: str = "even
 
 
 def progress(pages: DataFrame, job: str, order: str) -> DataFrame:
-    """Each page's number and its job's number of pages, without a window over a whole job when jobs are one."""
+    """Each page's number and its job's number of pages; a job's pages meet in one task to be numbered, with no more than the two columns if no others are given."""
     numbered = F.row_number().over(Window.partitionBy(job).orderBy(order))
     return pages.withColumn("i", numbered).join(pages.groupBy(job).agg(F.count("*").alias("n")), job)
 

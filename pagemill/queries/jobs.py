@@ -1,4 +1,4 @@
-"""Queries on jobs (F14, J2-J6, S15, K5, U2, U3, A1-A4, W5, W6, X4-X6) derived from pages and events."""
+"""Queries on jobs (F14, J2-J6, S15, K5, U2, U3, U5, A1-A4, W5, W6, X4-X6, X12) derived from pages and events."""
 
 from __future__ import annotations
 
@@ -73,6 +73,40 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.cache_lookup(p, jobs.cache_latest(_entries(spark, sf_dir)), F.timestamp_seconds(F.lit(NOW)), TTL)
 
 
+@query(
+    f"SELECT substring(sha256(url), 1, 16) AS key, url, 'old' AS html, page_id AS ts FROM pages WHERE page_id % 2 = 0"
+    f" UNION ALL SELECT substring(sha256(url), 1, 16), url, html, page_id + 1 FROM pages WHERE page_id % 5 <> 0"
+)
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after all pages were fetched, of which every fifth is blocked."""
+    p = table(spark, sf_dir, "pages")
+    there = p.filter("page_id % 2 = 0").select(jobs.cache_key(F.col("url")).alias("key"), "url", F.lit("old").alias("html"), F.col("page_id").alias("ts"))
+    return jobs.cache_put(there, p.select("page_id", "url", "html", (F.col("page_id") + 1).alias("ts")), F.col("page_id") % 5 == 0)
+
+
+@query("SELECT page_id, concat_ws(',', " + ", ".join(f"CASE WHEN page_id // {2**k} % 2 = 0 THEN '{f}' END" for k, f in enumerate(("job_id", "request", "completed_urls", "failed_urls", "pending_urls"))) + ") AS missing FROM pages")
+def state_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state a page has the fields that the bits of its id say."""
+    bits = F.transform(F.array(*map(F.lit, jobs.STATE_FIELDS)), lambda f, k: F.when(F.floor(F.col("page_id") / F.pow(F.lit(2), k)) % 2 == 1, f))
+    there = F.array_compact(bits)
+    state = F.map_from_arrays(there, F.transform(there, lambda f: F.lit("x")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(jobs.missing_fields(state), ",").alias("missing"))
+
+
+_JOB_STATES = ("pending", "running", "paused", "cancelled", "completed", "failed")
+_STATE = lambda n: "(['" + "', '".join(_JOB_STATES) + f"'])[{n} % 6 + 1]"
+
+
+@query(
+    f"SELECT event_id, state || '>' || target IN ('pending>running', 'pending>cancelled', 'running>paused', 'running>cancelled', 'running>completed', 'running>failed', 'paused>running', 'paused>cancelled') AS allowed"
+    f" FROM (SELECT event_id, {_STATE('event_id')} AS state, {_STATE('event_id // 6')} AS target FROM events)"
+)
+def job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event asks for a move between two of the states; all pairs of them occur."""
+    state = lambda n: F.element_at(F.array(*map(F.lit, _JOB_STATES)), (n % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", jobs.may_move(state(F.col("event_id")), state(F.floor(F.col("event_id") / 6))).alias("allowed"))
+
+
 _ATTEMPTS = (
     "(SELECT page_id, v AS level, CASE v WHEN 0 THEN CASE WHEN page_id % 4 = 0 THEN 'cache' END WHEN 1 THEN CASE WHEN page_id % 5 = 0 THEN 'native' END WHEN 2 THEN CASE WHEN page_id % 7 = 0 THEN 'proxy' END"
     " WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'http_fast' END ELSE CASE WHEN page_id % 13 <> 1 THEN 'browser' END END AS content FROM pages, (VALUES (0), (1), (2), (3), (4)) AS t(v))"

@@ -1,4 +1,4 @@
-"""Queries on URLs (F rows, J1, J7-J9, A3, U4) over varied pages and inline values."""
+"""Queries on URLs (F rows, J1, J7-J9, A3, S1-S5, U1, U4) over varied pages and inline values."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import models, urls
 from pagemill.operators import jobs, robots
 from pagemill.queries.common import VARIED_PAGES, table, varied_pages
+from pagemill.sources import sitemap
 
 QUERIES, ORACLES = {}, {}
 
@@ -130,6 +131,42 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.robots_allowed(pages, _rules(spark)).select("page_id", "allowed")
 
 
+@query(
+    f"SELECT page_id, url FROM (SELECT page_id, url, {PATH('url')} AS p FROM pages) LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in RULES) + ") AS t(kind, rule) ON starts_with(p, rule) GROUP BY page_id, url"
+    " HAVING coalesce(max(length(rule)) FILTER (kind = 'allow'), -1) >= coalesce(max(length(rule)) FILTER (kind = 'disallow'), -1)"
+)
+def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("*").alias("host"))
+    return robots.robots_filter(pages, _rules(spark)).select("page_id", "url")
+
+
+ROOT = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
+#: Child sitemaps that a page's sitemap names: the tree of all has a level for each digit of the ids to this base.
+CHILDREN = 16
+
+
+@query(f"SELECT {AUTHORITY('url')} AS host, {ROOT} || '/map-' || page_id || '.xml' AS sitemap_url FROM pages WHERE page_id % 3 <> 2")
+def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots body a page, which names a sitemap in one of two spellings or none."""
+    named = F.element_at(F.array(F.lit("Sitemap: "), F.lit("  sitemap:"), F.lit("# ")), (F.col("page_id") % 3 + 1).cast("int"))
+    address = F.concat(F.regexp_extract("url", r"^(https?://[^/?#]*)", 1), F.lit("/map-"), F.col("page_id").cast("string"), F.lit(".xml"))
+    body = F.concat(F.lit("User-agent: *\r\nDisallow: /x\n"), named, address, F.lit("\nAllow: /"))
+    return sitemap.robots_sitemaps(table(spark, sf_dir, "pages").select(urls.authority(F.col("url")).alias("host"), body.alias("body")))
+
+
+@query(f"SELECT DISTINCT {NORMALIZED('url')} AS url FROM pages WHERE page_id >= {CHILDREN} OR page_id % 5 <> 4")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap a page, which names the page and child sitemaps, itself or missing ones among them; some roots' pages are of another namespace."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    address = lambda k: F.concat(F.lit("map-"), k.cast("string"), F.lit(".xml"))
+    children = F.transform(F.sequence(F.col("page_id") * CHILDREN, F.col("page_id") * CHILDREN + CHILDREN - 1), lambda k: F.concat(F.lit("<sitemap><loc> "), address(k), F.lit("</loc></sitemap>")))
+    other = (F.col("page_id") < CHILDREN) & (F.col("page_id") % 5 == 4)
+    page = F.concat(F.when(other, '<url xmlns="http://elsewhere.example.net/">').otherwise("<url>"), F.lit("<loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    body = F.concat(F.lit(f'<sitemapindex xmlns="{sitemap.NAMESPACE}">'), page, F.array_join(children, ""), F.lit("</sitemapindex>"))
+    roots = pages.filter(F.col("page_id") < CHILDREN).select(address(F.col("page_id")).alias("sitemap_url"))
+    return sitemap.site_urls(pages.select(address(F.col("page_id")).alias("sitemap_url"), body.alias("body")), roots, F.regexp_extract("url", r"^(https?://[^/?#]*)", 1))
+
+
 @query("SELECT page_id, greatest((page_id % 5) * 700 / 1000.0, coalesce(CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 0.0 ELSE 1.5 END, 0.0))::DOUBLE AS delay FROM pages")
 def effective_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("page_id") % 3 == 1, 0.0).when(F.col("page_id") % 3 == 2, 1.5)
