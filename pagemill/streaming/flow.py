@@ -13,21 +13,26 @@ from pagemill.operators import html
 
 
 def read_pages(spark: SparkSession, folder: str, files_a_batch: int = 20, pattern: str = "pages.parquet") -> DataFrame:
-    """A stream of page files; at most files_a_batch files a micro-batch, which is the back-pressure of a bounded queue."""
+    """A stream of the page files in folder, or in folders there, that the pattern names; at most files_a_batch files a micro-batch, which is the back-pressure of a bounded queue."""
     schema = "page_id long, url string, html string"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
+    # braces: a path without a pattern is taken for the base of partition folders, which a file cannot be
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").parquet(f"{folder}/{{{pattern}}}")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url_norm, text, hash) of all pages; batch or stream."""
+    rows = pages.select("page_id", urls.normalize(F.col("url")).alias("url_norm"), html.visible_text(F.col("html")).alias("text"))
+    return rows.withColumn("hash", text.content_hash(F.col("text")))
 
 
 def accepted_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url_norm, text, hash) of pages that are not blocked; batch or stream."""
-    u = F.col("url")
-    rows = pages.select("page_id", urls.normalize(u).alias("url_norm"), html.visible_text(F.col("html")).alias("text"))
-    return rows.filter(~text.is_blocked(F.col("text"))).withColumn("hash", text.content_hash(F.col("text")))
+    """page_texts of pages that are not blocked."""
+    return page_texts(pages).filter(~text.is_blocked(F.col("text")))
 
 
-def unique_pages(pages: DataFrame, within: str | None = None, time_col: str | None = None) -> DataFrame:
-    """Of accepted pages one for each hash; with a time column and a delay, state is kept no longer than that."""
-    rows = accepted_pages(pages)
+def unique_pages(pages: DataFrame, within: str | None = None, time_col: str | None = None, blocked: bool = False) -> DataFrame:
+    """Of accepted pages, or with blocked of all, one for each hash; with a time column and a delay, state is kept no longer than that."""
+    rows = page_texts(pages) if blocked else accepted_pages(pages)
     if within and time_col:
         return rows.withWatermark(time_col, within).dropDuplicatesWithinWatermark(["hash"])
     return rows.dropDuplicates(["hash"])
@@ -40,9 +45,10 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.table(name)
 
 
-def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Run a finite stream into Parquet files; stop() and another run resume by the checkpoint."""
+def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run a finite stream into Parquet files and give their rows, none if there were none; stop() and another run resume by the checkpoint."""
     stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
 def windowed_events(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
