@@ -68,10 +68,10 @@ def apply_reply(urls: DataFrame, replies: DataFrame, key: str) -> DataFrame:
     return kept.select(key, "pos", "url").unionByName(failed)
 
 
-def pending(urls: DataFrame, *done: DataFrame) -> DataFrame:
-    """Urls without those of any of the others."""
+def pending(urls: DataFrame, *done: DataFrame, key: str = "url") -> DataFrame:
+    """Urls without those of any of the others; by another key, a URL that is listed under several stays until all are done."""
     for other in done:
-        urls = urls.join(other.select("url"), "url", "left_anti")
+        urls = urls.join(other.select(key), key, "left_anti")
     return urls
 
 

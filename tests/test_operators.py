@@ -193,6 +193,16 @@ def test_stream_dedup_reads_parts(spark, tmp_path):
     assert compare(spark, parted_tables(spark, tmp_path), QUERIES["stream_dedup"], ORACLES["stream_dedup"]) == ""
 
 
+def test_pending_urls_of_several_pages(spark, tmp_path):
+    assert compare(spark, parted_tables(spark, tmp_path), QUERIES["pending_urls"], ORACLES["pending_urls"]) == ""
+
+
+def test_pending_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "page_id long, url string")
+    left = lambda **key: sorted(r.page_id for r in jobs.pending(rows, rows.filter("page_id = 2"), rows.filter("page_id = 3"), **key).collect())
+    assert left() == [4] and left(key="page_id") == [1, 4]
+
+
 def test_live_source(spark):
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
