@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm.common import durable, keep_rows, table
+from pagemill.llm.common import durable, keep_rows, small_batches, table
 from pagemill.llm.language import UNDETERMINED, fit_languages
 from pagemill.llm.near_copies import drop_near_copies
 from pagemill.llm.packing import pack_documents
@@ -20,6 +20,7 @@ from pagemill.llm.toxicity import fit_toxicity, words_of
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity operator, fitted on the labelled ones outside its held-out part, scores 0.5 or more."""
+    small_batches(spark)
     model = fit_toxicity(docs.filter(~held_out(5, 0)), table(spark, sf_dir, "labels").filter(~held_out(5, 0)))
 
     def clean(text: str) -> bool:
@@ -34,6 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents without a letter, or whose language the output codes leave open."""
+    small_batches(spark)
     model = fit_languages(docs.filter(~held_out(4, 2)))
 
     def keep(texts: list[str | None]) -> list[bool]:
@@ -45,11 +47,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of copies and near copies (five-word shingles, similarity 0.8 or more) the smallest id."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into sequences; a row is a piece and its place."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
 
 

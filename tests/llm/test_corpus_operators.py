@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -306,6 +307,20 @@ def test_near_copies_by_added_words(spark):
     assert got == {k: k - k % 2 for k in range(800)}
 
 
+def test_pipeline_sends_small_batches(spark):
+    """A batch of Spark's own size is tens of MB of text beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(0, 2500, 1, 1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["id"]) for b in batches), "id long")
+    spark.conf.unset(key)
+    assert [r.id for r in rows.select("id").collect()] == [2500]
+    corpus_pipeline.near_dedup(spark, frame(spark, ["one two three", "four"]).select("doc_id", "text"), SF)
+    assert [r.id for r in rows.select("id").collect()] == [1000, 1000, 500]
+    spark.conf.set(key, "10")
+    corpus_pipeline.packing(spark, frame(spark, ["one"]).select("doc_id", "text"), SF)
+    assert spark.conf.get(key) == "10"
+    spark.conf.unset(key)
+
+
 def test_representatives_differ_from_key_to_key(spark):
     nodes = spark.createDataFrame([(k, k, [1, 2, 3, 4, 5]) for k in range(40)], "node long, rare long, keys array<long>")
     assert candidates(nodes).count() > 39 + 38 + 37  # the pairs of three nodes with all others
