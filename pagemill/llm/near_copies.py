@@ -35,8 +35,8 @@ from pagemill.llm.simhash import SEGMENTS, SHINGLES_A_STEP, shingles_of, simhash
 SHINGLE, SIMILARITY = 5, 0.8
 #: Nodes of a key that are paired all with all; representatives beyond that.
 FEW, REPRESENTATIVES = 16, 3
-#: Shingles that a task counts at a time, the share of texts that makes one frequent there, and the most that are told. Only the order depends on it.
-COUNTED, SHARE, FREQUENT = 1_000_000, 1e-3, 100_000
+#: Shingles that a task counts at a time, the share of texts and the texts at least that make one frequent there, and the most that are told. Only the order depends on it.
+COUNTED, SHARE, LEAST, FREQUENT = 1_000_000, 1e-3, 3, 100_000
 #: Members of a key that meet in one part of the prefix join; characters of the texts that a task takes at a time.
 PART, CHARS = 256, 1_000_000
 FACTORS = np.random.default_rng(20).integers(1, 1 << 63, len(SEGMENTS), dtype=np.uint64) | np.uint64(1)
@@ -70,19 +70,20 @@ def least_hash(shingles: np.ndarray, factor: np.uint64) -> np.uint64:
     return mixed.min()
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of docs(doc_id, text) hold, ascending, and how many do.
+def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of docs(doc_id, text) hold, ascending, and how many do; n: how many rows docs has.
 
     Every text is counted. A task drops what only few of its texts hold; a shingle that SHARE of all texts hold is held by
-    that share in some task.
+    that share in some task. Small partitions are put together, as LEAST texts are more than that share of a small one.
     """
+    docs = docs.coalesce(max(1, int(n * SHARE / LEAST)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            many = n >= max(3, SHARE * len(held))
+            many = n >= max(LEAST, SHARE * len(held))
             held.clear()
             return pa.record_batch([pa.array(found[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["shingle", "n"])
 
@@ -135,12 +136,12 @@ def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *parts]).view(kind)))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, high, low, size, rare, keys, prefix) of every row of docs(doc_id, text, mark); rare counts the shingles that few texts hold.
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, mark, high, low, size, rare, keys, prefix) of every one of the n rows of docs(doc_id, text, mark); rare counts the shingles that few texts hold.
 
     Texts of under five words have no keys.
     """
-    frequent = frequent_shingles(docs)
+    frequent = frequent_shingles(docs, n)
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,9 @@ def candidates(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """Pairs (u, v), u > v, of nodes(node, rare, keys) that share a key: all of a key of a few, with representatives in one of many.
 
     One representative is the node with the fewest rare shingles: of copies with edits of their own it is nearest to what they
-    were made from. Keys are first only counted, so that the many which one node has alone go no further.
+    were made from. The others are first in orders of all nodes, not of each key: the keys of one group, which have much the
+    same nodes, so pick the same ones, and a node has few pairs however many keys it has in common with its group. Keys are
+    first only counted, so that the many which one node has alone go no further.
     """
     keyed = nodes.select("node", "rare", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -173,7 +176,7 @@ def candidates(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))  # at most FEW
     few = few.select(F.posexplode("all").alias("at", "u"), "all").select("u", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("v"))
     hot = members.filter(F.col("n") > FEW)
-    ranks = (F.struct("rare", "node"), *(F.struct(F.xxhash64("key", "node", F.lit(k)), "node") for k in range(1, REPRESENTATIVES)))
+    ranks = (F.struct("rare", "node"), *(F.struct(F.xxhash64("node", F.lit(k)), "node") for k in range(1, REPRESENTATIVES)))
     picks = hot.groupBy("key").agg(*(F.min(r)["node"].alias(f"r{k}") for k, r in enumerate(ranks)))
     many = hot.join(picks, "key").select(F.col("node").alias("u"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("v"))
     pairs = few.unionByName(many).filter("u != v")
@@ -265,9 +268,9 @@ def grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """near_copy_groups, and how many rows it has. What is stored between its steps has about a row a text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).dropna(subset=["doc_id"])
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows = durable(sketches(docs))
-    n = rows.count()
+    n, most = docs.groupBy("doc_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    repeated = most > 1
+    rows = durable(sketches(docs, n))
     nodes = rows.groupBy("high", "low", "size").agg(F.min(F.struct("doc_id", "mark", "rare", "keys", "prefix")).alias("s"))
     nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "size", "s.*"), n)
     own = durable(rows.select("doc_id", "high", "low", "size").join(nodes.select("high", "low", "size", "node"), ["high", "low", "size"]).select("doc_id", "node"), n)

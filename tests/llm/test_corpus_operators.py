@@ -17,7 +17,7 @@ from pagemill.llm import golay, queries
 from pagemill.llm.components import components
 from pagemill.llm.fingerprints import document_fingerprints, edited_fingerprints, id_ranges
 from pagemill.llm.language import code_book, fit_languages, identify_languages
-from pagemill.llm.near_copies import candidates, drop_near_copies, near_copy_groups, pairs_apart, shingle_set, words_of
+from pagemill.llm.near_copies import candidates, drop_near_copies, frequent_shingles, near_copy_groups, pairs_apart, shingle_set, words_of
 from pagemill.llm.neighbours import nearest
 from pagemill.llm.simhash import links, simhash, simhash_components
 from pagemill.llm.toxicity import ToxicModel, fit_toxicity, maximal_segments, score_toxicity
@@ -297,6 +297,26 @@ def test_near_copies_of_one_original_only(spark, n):
     assert len(got) == n + 1 and {g.group_id for g in got} == {7}
 
 
+def test_candidates_of_a_group_pick_the_same_representatives(spark):
+    """A group of near copies has many keys in common; a node is paired with few others all the same."""
+    few = [(k, k % 7, [j for j in range(12) if (k * 31 + j * 17) % 5]) for k in range(600)]
+    nodes = spark.createDataFrame(few, "node long, rare long, keys array<long>")
+    got = [(p.u, p.v) for p in candidates(nodes).collect()]
+    assert len(union(got, range(600))) == 600 and set(union(got, range(600)).values()) == {0}
+    assert len(got) < 6 * 600
+
+
+def test_frequent_shingles_of_small_partitions(spark):
+    """What every fifth text holds is frequent, though each of many small partitions has two of those texts only."""
+    shared = "one line that many texts have"
+    texts = [f"{shared} {k} " * (k % 5 == 0) + " ".join(f"w{k}x{j}" for j in range(6)) for k in range(2000)]
+    docs = frame(spark, texts).repartitionByRange(200, "doc_id").select("doc_id", "text")
+    assert docs.rdd.getNumPartitions() == 200
+    found, n = frequent_shingles(docs, 2000)
+    held = shingle_set(words_of(shared))
+    assert set(held.tolist()) == set(found.tolist()) and set(n.tolist()) == {400}
+
+
 def test_near_copies_by_added_words(spark):
     r = random.Random(3)
     texts = []
