@@ -166,9 +166,9 @@ def candidates(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """Pairs (u, v), u > v, of nodes(node, rare, keys) that share a key: all of a key of a few, with representatives in one of many.
 
     One representative is the node with the fewest rare shingles: of copies with edits of their own it is nearest to what they
-    were made from. The others are first in orders of all nodes, not of each key: the keys of one group, which have much the
-    same nodes, so pick the same ones, and a node has few pairs however many keys it has in common with its group. Keys are
-    first only counted, so that the many which one node has alone go no further.
+    were made from. The next differs from key to key; what follows is first in an order of all nodes, so that the keys of one
+    group, which have much the same nodes, pick the same one. Keys are first only counted, so that the many which one node has
+    alone go no further.
     """
     keyed = nodes.select("node", "rare", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -176,7 +176,7 @@ def candidates(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))  # at most FEW
     few = few.select(F.posexplode("all").alias("at", "u"), "all").select("u", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("v"))
     hot = members.filter(F.col("n") > FEW)
-    ranks = (F.struct("rare", "node"), *(F.struct(F.xxhash64("node", F.lit(k)), "node") for k in range(1, REPRESENTATIVES)))
+    ranks = (F.struct("rare", "node"), *(F.struct(F.xxhash64(*(["key"] if k == 1 else []), "node", F.lit(k)), "node") for k in range(1, REPRESENTATIVES)))
     picks = hot.groupBy("key").agg(*(F.min(r)["node"].alias(f"r{k}") for k, r in enumerate(ranks)))
     many = hot.join(picks, "key").select(F.col("node").alias("u"), F.explode(F.array(*(f"r{k}" for k in range(REPRESENTATIVES)))).alias("v"))
     pairs = few.unionByName(many).filter("u != v")
